@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import maxscore, packing, source_mix, token_codes
+from . import langid, maxscore, ngram_join, packing, source_mix, token_codes, toxicity
 from .common import table
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -18,6 +18,20 @@ def vocabulary(name: str) -> str:
     return f"{TOKENIZERS}/{name}"
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.token_table(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -36,6 +50,9 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op4_language": op4_language,
+    "op5_ngram_join": op5_ngram_join,
     "op6_token_codes": op6_token_codes,
     "op7_source_mix": op7_source_mix,
     "op9_maxscore": op9_maxscore,

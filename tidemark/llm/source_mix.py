@@ -23,6 +23,8 @@ MOST_EPOCHS = 3
 BUCKETS = 1024
 #: Sources up to which their table (about 60 bytes a row) is sent to every executor; beyond it a plain join is used.
 MOST_SENT = 100_000
+#: Document ids (12 bytes each) up to which they are sent; beyond it the texts are shuffled once.
+MOST_IDS_SENT = 4_000_000
 
 
 def quality(text: Column, size: Column) -> Column:
@@ -35,7 +37,7 @@ def targets(sources: DataFrame, shares: tuple = SHARES, most: int = MOST_EPOCHS)
     """source, source_size -> target: shares of the total by weight, held at ``most`` sizes, the excess reshared.
 
     Sources sorted by limit per weight: the first ones are held as long as the level that is left for the rest is
-    above their limit; the level at the first that isn't held applies to all others.
+    above their limit; the level at the first that isn't held, the highest of those after, applies to all others.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     level = Window.orderBy("ratio", F.col("source").asc_nulls_last())
@@ -50,7 +52,7 @@ def targets(sources: DataFrame, shares: tuple = SHARES, most: int = MOST_EPOCHS)
         .withColumn("level", (F.col("total") - F.col("held")) / F.col("open_w"))
     )
     free = F.when(F.col("ratio") > F.col("level"), F.col("level"))
-    return ranked.withColumn("at", F.min(free).over(whole)).select(
+    return ranked.withColumn("at", F.max(free).over(whole)).select(
         "source", "source_size", F.when(free.isNull(), F.col("top").cast("double")).otherwise(F.col("at") * F.col("w")).alias("target")
     )
 
@@ -96,6 +98,15 @@ def mix(docs: DataFrame, shares: tuple = SHARES, most: int = MOST_EPOCHS, bucket
     )
 
 
+def mixed_rows(docs: DataFrame, shares: tuple = SHARES, most: int = MOST_EPOCHS, buckets: int = BUCKETS) -> DataFrame:
+    """All columns of ``docs``, each row as often as the mix takes it; rows of one id share their number."""
+    taken = durable(mix(docs, shares, most, buckets).groupBy("doc_id").agg(F.max("copies").alias("times")).where("times > 0"), "mix_taken").withColumnRenamed("doc_id", "taken_id")
+    if taken.count() <= MOST_IDS_SENT:
+        taken = F.broadcast(taken)
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("mix_copy")).select(docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, length(text) AS chars,
@@ -112,7 +123,7 @@ l AS (
   SELECT *, (total - coalesce(sum(top) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
          / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
 t AS (
-  SELECT source, source_size, CASE WHEN ratio > level THEN min(CASE WHEN ratio > level THEN level END) OVER () * w ELSE top::DOUBLE END AS target FROM l),
+  SELECT source, source_size, CASE WHEN ratio > level THEN max(CASE WHEN ratio > level THEN level END) OVER () * w ELSE top::DOUBLE END AS target FROM l),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size)) ELSE 0 END::INT AS epochs FROM t),
 c AS (
   SELECT k.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,

@@ -296,3 +296,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     else:
         own = own.select("class_id", F.col("least").alias("component"))
     return known.join(own, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "class_id")
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """All columns of one row of each group: the one with the smallest doc_id. Rows without an id stay."""
+    found = durable(near_duplicates(docs, width, percent).select("doc_id", "component_id"), "join_groups")
+    gone = durable(found.where("doc_id <> component_id").select("doc_id").distinct(), "join_gone")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= MOST_SENT else gone, "doc_id", "left_anti").select(docs.columns)
+    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    known = kept.withColumn("one_of", F.coalesce(F.col("doc_id").cast("string"), F.uuid()))
+    return known.dropDuplicates(["one_of"]).select(docs.columns)

@@ -92,12 +92,26 @@ class CodeFile:
                 count[inner] += np.bitwise_count(bits[base[inner] + k])
         return count + np.bitwise_count(bits[place >> 3] & ((1 << (place & 7)) - 1).astype(np.uint8))
 
+    def all_tokens(self) -> np.ndarray:
+        """Every id in order: the entries that go on take the next level's entries in turn."""
+        out = np.zeros(int(self.at[-1]), np.uint32)
+        live = None
+        for k, (codes, bits, _) in enumerate(self.levels):
+            part = codes.astype(np.uint32) << np.uint32(8 * k)
+            if live is None:
+                out[:] = part
+            else:
+                out[live] |= part
+            on = np.flatnonzero(np.unpackbits(bits, count=len(codes), bitorder="little"))
+            live = on if live is None else live[on]
+        return out
+
     def document(self, row: int) -> np.ndarray:
         return self.tokens(np.arange(self.at[row], self.at[row + 1]))
 
 
 def write_files(docs: DataFrame, path: str, end: int = END, blank: bool = False, file_docs: int = FILE_DOCS) -> DataFrame:
-    """(part int, image binary): files of all documents; parts ascend with doc_id. Only token bytes are shuffled."""
+    """(part int, tokens long, image binary): files of all documents; parts ascend with doc_id. Only token bytes are shuffled."""
     docs = docs.select("doc_id", "text")
     parts = max(1, docs.count() // file_docs)
     bounds = np.array(docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else [], float)
@@ -105,7 +119,7 @@ def write_files(docs: DataFrame, path: str, end: int = END, blank: bool = False,
     def tokenised(batches):
         coder = encoder(path, blank)
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", 2 << 20):
                 ids, at = coder.documents([x or "" for x in piece.column("text").to_pylist()], end)
                 keys = int_ids(piece.column("doc_id"))
                 raw, cut = ids.astype("<u4"), at.tolist()
@@ -124,9 +138,9 @@ def write_files(docs: DataFrame, path: str, end: int = END, blank: bool = False,
         ids = [_long(raws[i]) for i in order]
         at = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
         image = encode_file(keys[order], at, np.concatenate(ids))
-        return pa.table({"part": group.column("part").slice(0, 1), "image": pa.array([image], pa.large_binary() if len(image) > 2**30 else pa.binary())})
+        return pa.table({"part": group.column("part").slice(0, 1), "tokens": pa.array([int(at[-1])]), "image": pa.array([image], pa.large_binary() if len(image) > 2**30 else pa.binary())})
 
-    return docs.mapInArrow(tokenised, "part int, doc_id long, ids binary").groupBy("part").applyInArrow(built, "part int, image binary")
+    return docs.mapInArrow(tokenised, "part int, doc_id long, ids binary").groupBy("part").applyInArrow(built, "part int, tokens long, image binary")
 
 
 def _short(ids: np.ndarray) -> bytes:
@@ -145,14 +159,14 @@ def read_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             for part, image in zip(batch.column("part").to_pylist(), batch.column("image").to_pylist(), strict=True):
                 f = CodeFile(image)
-                raw = f.tokens(np.arange(f.at[-1])).astype("<u4").tobytes()
+                raw = f.all_tokens().astype("<u4").tobytes()
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(f.at[:-1].tolist(), f.at[1:].tolist(), strict=True)]
                 yield pa.record_batch(
                     [id_column(f.doc_ids), pa.array(np.full(len(crc), part, np.int32)), pa.array(f.at[:-1]), pa.array(np.diff(f.at)), pa.array(crc, pa.int64())],
                     ["doc_id", "part", "place", "n_tokens", "ids_crc32"],
                 )
 
-    return files.mapInArrow(read, "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
+    return files.select("part", "image").mapInArrow(read, "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, path: str, end: int = END, blank: bool = False) -> DataFrame:
@@ -161,5 +175,5 @@ def token_table(docs: DataFrame, path: str, end: int = END, blank: bool = False)
     rows = read_files(files)
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # one row a file: their number is the row count over FILE_DOCS
-    starts = durable(rows.groupBy("part").agg(F.sum("n_tokens").alias("n")), "token_parts").select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
+    starts = files.select("part", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)).alias("first"))
     return rows.join(starts, "part").select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", "part")

@@ -1,8 +1,8 @@
-"""Exact, fast encoding with public tokenizers: texts are cut at single blanks and each distinct unit is encoded once.
+"""Exact, fast encoding with public tokenizers: texts are cut into units and each distinct unit is encoded once.
 
 Both pre-tokenizers used here never join characters across a blank that stands between two characters which aren't
-white space, so encoding ``"a b"`` equals encoding ``"a"`` and then ``" b"``. Where a text has other runs of white
-space at a cut, the whole text is encoded directly instead.
+white space, before a stop or comma after a letter or digit, or around a single line break; so encoding the units between
+such places, one by one, equals encoding the text. A text with other white space or marks at a cut is encoded directly.
 """
 
 from __future__ import annotations
@@ -12,11 +12,18 @@ from itertools import chain
 
 import numpy as np
 
+#: The byte-level alphabet: printable bytes of Latin-1 stand for themselves, the others for U+0100 and up in turn.
+_SELF = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SELF)}
+
 _ENCODERS: dict[tuple[str, bool], "UnitEncoder"] = {}
 
 
 class _Units(dict):
-    """Unit -> number; an unseen unit gets the next number and waits in ``fresh`` to be encoded."""
+    """Unit -> number; an unseen unit gets the next number and waits in ``fresh`` to be encoded.
+
+    A unit follows a blank, unless it begins with NUL (start of the text) or U+0002 (no blank before it).
+    """
 
     def __init__(self):
         super().__init__()
@@ -28,10 +35,15 @@ class _Units(dict):
         return number
 
 
+def _spread(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of all ranges (begin, size), one range after another."""
+    return np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
 class UnitEncoder:
-    """``most``: units kept between batches; ``longest``: characters of the longest unit that is kept."""
+    """``most``: units kept between batches; ``longest``: mean characters a unit beyond which a text isn't cut."""
 
-    def __init__(self, path: str, blank: bool, most: int = 250_000, longest: int = 400):
+    def __init__(self, path: str, blank: bool, most: int = 500_000, longest: int = 400):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -39,51 +51,82 @@ class UnitEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.units, self.bad = _Units(), np.zeros(0, bool)
-        self.pool, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _direct(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.units, self.pool, self.at = _Units(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.bad, self.mark, self.tail = (np.zeros(0, bool) for _ in range(3))
 
     def _learn(self) -> None:
+        """Ids of the units seen for the first time.
+
+        Letters below U+0250 have one composed form and one lower case each, so words of them go to the model itself.
+        """
         fresh, self.units.fresh = self.units.fresh, []
-        made = self.tokenizer.encode_batch_fast([u[1:] if u[:1] == "\0" else self.lead + u for u in fresh], add_special_tokens=False)
-        ids = [x.ids for x in made]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        tokenize, lead, word_ends = self.tokenizer.model.tokenize, "Ġ", not self.lead
+        ids: list[int] = []
+        sizes, bad, mark, tail = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), bool), np.zeros(len(fresh), bool), np.ones(len(fresh), bool)
+        rest = []
+        for i, unit in enumerate(fresh):
+            glued = unit[:1] < "\x03"
+            text = unit[1:] if glued else unit
+            if text.isalpha() and max(text) < "ɐ" and (self.lead or len(text.lower()) == len(text)):
+                if word_ends:
+                    text = text.lower()
+                if not text.isascii():
+                    text = text.encode().decode("latin-1").translate(_BYTES)
+                found = tokenize(text if word_ends or glued else lead + text)
+                sizes[i] = len(found)
+                ids += [t.id for t in found]
+            else:
+                tail[i] = text[-1:].lower()[-1:].isalnum()
+                mark[i] = unit[:1] == "\x02" and text[:1] in (".", ",")
+                bad[i] = unit != "\x02\n" and (text == "" or text[0].isspace() or text[-1].isspace())
+                rest.append(i)
+        flat = np.array(ids, np.uint32)
+        if rest:
+            texts = [fresh[i][1:] if fresh[i][:1] < "\x03" else self.lead + fresh[i] for i in rest]
+            made = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            known = np.ones(len(fresh), bool)
+            known[rest] = False
+            parts = [(np.flatnonzero(known), flat), (np.array(rest), np.fromiter(chain.from_iterable(made), np.uint32))]
+            sizes[rest] = [len(x) for x in made]
+            ends = np.cumsum(sizes)
+            flat = np.empty(int(ends[-1]), np.uint32)
+            for rows, values in parts:
+                flat[_spread(ends[rows] - sizes[rows], sizes[rows])] = values
         self.pool = np.concatenate([self.pool, flat])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-        edge = [(u := f[1:] if f[:1] == "\0" else f) == "" or u[0].isspace() or u[-1].isspace() for f in fresh]
-        self.bad = np.concatenate([self.bad, np.array(edge, bool)])
+        self.bad, self.mark, self.tail = np.concatenate([self.bad, bad]), np.concatenate([self.mark, mark]), np.concatenate([self.tail, tail])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
         if len(self.units) > self.most:
             self._clear()
-        direct = {i: None for i, t in enumerate(texts) if t and ("\0" in t or t.count(" ") * self.longest < len(t) - self.longest)}
-        pieces, counts = [], np.zeros(len(texts), np.int64)
+        direct, pieces, counts = set(), [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            if text and i not in direct:
-                own = text.split(" ")
-                own[0] = "\0" + own[0]
-                counts[i] = len(own)
-                pieces += own
+            if not text:
+                continue
+            if text.count(" ") * self.longest < len(text) - self.longest or "\0" in text or "\x01" in text or "\x02" in text:
+                direct.add(i)
+                continue
+            own = text.replace(",", " \x02,").replace(".", " \x02.").replace("\n", " \x02\n \x02").split(" ")
+            own[0] = "\0" + own[0]
+            counts[i] = len(own)
+            pieces += own
         numbers = np.fromiter(map(self.units.__getitem__, pieces), np.int64, len(pieces))
         if self.units.fresh:
             self._learn()
         owner = np.repeat(np.arange(len(texts)), counts)
-        for i in np.unique(owner[self.bad[numbers]]).tolist() if self.bad[numbers].any() else ():
-            direct[i] = None
+        wrong = self.bad[numbers]
+        wrong[1:] |= self.mark[numbers[1:]] & ~self.tail[numbers[:-1]]
+        direct.update(np.unique(owner[wrong]).tolist())
         if direct:
             plain = ~np.isin(owner, list(direct))
             numbers, owner = numbers[plain], owner[plain]
         sizes = self.at[numbers + 1] - self.at[numbers]
-        ends = np.cumsum(sizes)
-        flat = self.pool[np.repeat(self.at[numbers] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
+        flat = self.pool[_spread(self.at[numbers], sizes)]
         lengths = np.bincount(owner, sizes, len(texts)).astype(np.int64)
         if direct:
             rows = sorted(direct)
-            made = dict(zip(rows, self._direct([texts[i] for i in rows]), strict=True))
+            made = {i: np.array(x.ids, np.uint32) for i, x in zip(rows, self.tokenizer.encode_batch_fast([texts[i] for i in rows], add_special_tokens=False), strict=True)}
             at = np.concatenate([[0], np.cumsum(lengths)])
             flat = np.concatenate([made[i] if i in made else flat[at[i] : at[i + 1]] for i in range(len(texts))])
             for i, ids in made.items():
@@ -103,4 +146,6 @@ class UnitEncoder:
 
 def encoder(path: str, blank: bool) -> UnitEncoder:
     """The worker's own encoder for a vocabulary file. ``blank``: units keep their leading blank (byte-level)."""
-    return _ENCODERS.setdefault((path, blank), None) or _ENCODERS.update({(path, blank): UnitEncoder(path, blank)}) or _ENCODERS[path, blank]
+    if (path, blank) not in _ENCODERS:
+        _ENCODERS[path, blank] = UnitEncoder(path, blank)
+    return _ENCODERS[path, blank]

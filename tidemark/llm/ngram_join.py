@@ -10,9 +10,10 @@ A document's set is its distinct 5-word shingles (64-bit hashes). Two sets link
    first n - ceil(0.75 n) + 1 in that order). Classes that share a prefix shingle are candidates.
 4. Candidates are verified fragment by fragment: every fragment counts the pair's partial overlap over its own
    shingles, and the partial overlaps are summed per pair.
-5. Large buckets aren't expanded into all pairs: each round only compares a bucket's leader with members that aren't in
-   the leader's group yet, then merges linked groups. A leader that has met its whole bucket leaves it. Once the pairs
-   of members in different groups are few, all of those are compared, so no link between groups is missed.
+5. Groups aren't expanded into all pairs. In a few rounds every class is compared with one leader, the first in a hash
+   order among the leaders of its buckets, and linked groups are merged: large groups of near copies fall together. Then
+   the pairs of a bucket that aren't in one group yet are candidates, if the places of the shared shingle in both orders
+   leave room for the overlap that a link needs, and all of those are verified: no link between groups is missed.
 
 Exact up to collisions of 64-bit hashes. Words are lower-cased in A-Z only. A null, empty or blank text has an empty
 set and is alone in its group. Rows that repeat are copies. Null ids take part in counts, with no id of their own to
@@ -34,10 +35,11 @@ WIDTH = 5
 PERCENT = 75
 #: Shingles to a fragment, about: 16 MB of hashes and as much again to sort them.
 FRAGMENT = 2_000_000
+#: Fragments at least; rounds of leaders before the remaining pairs.
+LEAST_FRAGMENTS = 24
+ROUNDS = 3
 #: Survivor ids up to which they are sent to every executor (8 bytes each); beyond it a join shuffles the texts once.
 MOST_SENT = 4_000_000
-#: Pairs of a last round; while there are more, another round of leaders goes first.
-MOST_PAIRS = 500_000
 
 
 def _class_key(shingles: np.ndarray) -> int:
@@ -149,7 +151,7 @@ def _sets_of(docs: DataFrame, alive: DataFrame, sent: bool, fragments: int, widt
 
 
 def _postings(sets: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
-    """hash, class_id, n of every prefix entry that another class has too."""
+    """hash, class_id, n, place of every prefix entry that another class has too; place counts from 0 in the order."""
 
     def frequent(group: pa.Table) -> pa.Table:
         owner, hashes, df = _shared(*_unpacked(group))
@@ -163,7 +165,7 @@ def _postings(sets: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
     def prefix(batches):
         for batch in batches:
             keys, sizes, lists = batch.column("class_id").to_pylist(), batch.column("n").to_pylist(), batch.column("lists").to_pylist()
-            out = [[], [], []]
+            out = [[], [], [], []]
             for key, n, blobs in zip(keys, sizes, lists, strict=True):
                 df, hashes = np.concatenate([np.frombuffer(b, np.uint64).reshape(2, -1) for b in blobs], 1)
                 length = n - -(-percent * n // 100) + 1 - (n - len(hashes))
@@ -172,11 +174,12 @@ def _postings(sets: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
                     out[0].append(first.view(np.int64))
                     out[1].append(np.full(len(first), key))
                     out[2].append(np.full(len(first), n))
+                    out[3].append(np.arange(len(first)) + n - len(hashes))
             if out[0]:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], ["hash", "class_id", "n"])
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], ["hash", "class_id", "n", "place"])
 
     entries = sets.groupBy("fragment").applyInArrow(frequent, "class_id long, entries binary")
-    return entries.groupBy("class_id").agg(F.collect_list("entries").alias("lists")).join(alive.select("class_id", "n"), "class_id").mapInArrow(prefix, "hash long, class_id long, n long")
+    return entries.groupBy("class_id").agg(F.collect_list("entries").alias("lists")).join(alive.select("class_id", "n"), "class_id").mapInArrow(prefix, "hash long, class_id long, n long, place long")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame, fragments: int) -> DataFrame:
@@ -216,7 +219,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, fragments: int) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """class_id, root (smallest class_id that its links reach) for the ends of ``edges`` (a, b).
+    """node, root (smallest node that its links reach) for the ends of ``edges`` (a, b).
 
     Every round each node takes the smallest label among itself and its neighbours, then the label's own label.
     """
@@ -231,63 +234,64 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         moved = durable(lower.join(jump, "to", "left").select("a", F.least("to", F.coalesce("far", "to")).alias("root"), "was"), f"{name}_{step}")
         labels = moved.select("a", "root")
         if moved.where("root <> was").isEmpty():
-            return labels.withColumnRenamed("a", "class_id")
+            return labels.withColumnRenamed("a", "node")
 
 
-def _links(docs: DataFrame, alive: DataFrame, width: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """(links that were verified, class_id -> root) of the surviving classes."""
+def _verified(pairs: DataFrame, sets: DataFrame, fragments: int, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b, n_a, n_b, any more columns) whose sets reach the threshold."""
+    pairs = durable(pairs, f"{name}_pairs")
+    found = pairs.join(_overlaps(pairs, sets, fragments), ["a", "b"])
+    union = F.col("n_a") + F.col("n_b") - F.col("overlap")
+    return durable(found.where(F.col("overlap") * 100 >= union * percent), f"{name}_links")
+
+
+def _groups(docs: DataFrame, alive: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """class_id -> root of the surviving classes that have links."""
     count = alive.agg(F.count("*").alias("c"), F.sum("n").alias("s")).first()
     if not count.c:
-        return None, None
+        return None
     fragments = max(12, -(-count.s // FRAGMENT))
     sets = durable(_sets_of(docs, alive, count.c <= MOST_SENT, fragments, width), "join_sets")
     postings = durable(_postings(sets, alive, percent), "join_postings")
-    near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    links, tested, roots, final, step = None, None, None, False, 0
-    while True:
-        step += 1
-        own = postings.withColumn("root", F.col("class_id")) if roots is None else postings.join(roots, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
-        own = durable(own.select("hash", "class_id", "n", "root"), f"join_own_{step}")
-        per_root = own.groupBy("hash", "root").agg(F.count("*").alias("c"))
-        mixed = per_root.groupBy("hash").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("roots")).where("roots > 1")
-        mixed = durable(mixed, f"join_mixed_{step}")
-        open_pairs = mixed.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2).alias("p")).first().p
-        if not open_pairs:
-            break
-        final = open_pairs <= MOST_PAIRS * (1 << max(0, step - 3))
-        live = own.join(mixed.select("hash"), "hash", "left_semi")
-        if final:
-            other = live.select("hash", *(F.col(c).alias(f"{c}_b") for c in ("class_id", "n", "root")))
-            met = live.join(other, "hash").where((F.col("class_id") < F.col("class_id_b")) & (F.col("root") != F.col("root_b")) & near(F.col("n"), F.col("n_b")))
-            pairs = met.select(F.col("class_id").alias("a"), F.col("class_id_b").alias("b"))
-        else:
-            lead = live.groupBy("hash").agg(F.min(F.struct(F.xxhash64("class_id", F.lit(step)), "class_id", "n", "root")).alias("lead"))
-            met = live.join(lead, "hash").where((F.col("root") != F.col("lead.root")) & near(F.col("n"), F.col("lead.n")))
-            pairs = met.select(F.least("class_id", "lead.class_id").alias("a"), F.greatest("class_id", "lead.class_id").alias("b"))
-            leaders = lead.select("hash", F.col("lead.class_id").alias("class_id"))
-            postings = durable(live.join(leaders, ["hash", "class_id"], "left_anti").select("hash", "class_id", "n"), f"join_left_{step}")
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = durable(pairs, f"join_pairs_{step}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        sizes = alive.select("class_id", "n")
-        found = _overlaps(pairs, sets, fragments).join(sizes.select(F.col("class_id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("class_id").alias("b"), F.col("n").alias("n_b")), "b")
-        union = F.col("n_a") + F.col("n_b") - F.col("overlap")
-        new = durable(found.where(F.col("overlap") * 100 >= union * percent).select("a", "b"), f"join_links_{step}")
-        links = new if links is None else links.unionByName(new)
-        roots = durable(components(links, f"join_roots_{step}"), f"join_root_{step}")
-        if final:
-            break
-    return links, roots
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+
+    own = durable(postings.withColumn("root", F.col("class_id")), "join_own")
+    for step in range(1, ROUNDS + 1):
+        order = F.struct(F.xxhash64("class_id", F.lit(step)).alias("h"), "class_id", "n", "root")
+        lead = own.groupBy("hash").agg(F.min(order).alias("lead"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hash", "lead")
+        met = own.join(lead, "hash").where(F.col("root") != F.col("lead.root")).select("class_id", F.col("n").alias("n_b"), F.col("root").alias("root_b"), "lead", F.col("lead.n").alias("n_a")).where(near)
+        first = met.groupBy("class_id").agg(F.min("lead").alias("lead"), F.first("n_b").alias("n_b"), F.first("root_b").alias("root_b"))
+        first = first.select(F.col("lead.class_id").alias("a"), F.col("class_id").alias("b"), F.col("lead.n").alias("n_a"), "n_b", F.col("lead.root").alias("root_a"), "root_b")
+        new = _verified(first, sets, fragments, percent, f"join_step_{step}").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        own = _merged(own, new, f"join_merge_{step}")
+
+    mixed = own.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hash")
+    live = own.join(mixed, "hash", "left_semi")
+    # of a pair's sides the smaller one needs 2 * percent / (100 + percent) of its own shingles, so its place comes early
+    small = live.where((F.col("n") - F.col("place")) * (100 + percent) >= F.col("n") * 2 * percent)
+    small = small.select("hash", F.col("class_id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("at_a"), F.col("root").alias("root_a"))
+    large = live.select("hash", F.col("class_id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("at_b"), F.col("root").alias("root_b"))
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    rest = small.join(large, "hash").where((F.col("root_a") != F.col("root_b")) & once & near & room).groupBy("a", "b").agg(*(F.first(c).alias(c) for c in ("n_a", "n_b", "root_a", "root_b")))
+    new = _verified(rest, sets, fragments, percent, "join_rest").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    return _merged(own, new, "join_merge_last").select("class_id", "root").distinct()
+
+
+def _merged(own: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``own`` with the roots that ``links`` between roots (a, b) join replaced by one of them."""
+    if links.isEmpty():
+        return own
+    to = components(links, name).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return durable(own.join(to, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to").select(own.columns), f"{name}_own")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id of every row."""
     known = durable(classes(docs, width), "join_classes")
     total = known.agg(F.sum("n_shingles").alias("s")).first().s or 0
-    alive = durable(survivors(docs, known, max(12, -(-total // FRAGMENT)), width, percent), "join_alive")
-    _, roots = _links(docs, alive, width, percent)
+    alive = durable(survivors(docs, known, max(LEAST_FRAGMENTS, -(-total // FRAGMENT)), width, percent), "join_alive")
+    roots = _groups(docs, alive, width, percent)
     own = known.groupBy("class_id").agg(F.min("doc_id").alias("least")).where("class_id IS NOT NULL")
     if roots is not None:
         own = own.join(roots, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lexicon import ABBREVIATIONS, STOPWORDS
@@ -62,9 +62,13 @@ def grams(tokens, most: int = 5) -> Column:
 
 
 def overlapping(tokens, needle: str) -> Column:
-    """How often the phrase occurs in a token list, overlaps counted."""
-    n = len(needle.split())
-    return F.size(F.filter(windows(tokens, n), lambda g: g == needle))
+    """How often the phrase occurs in a token list, overlaps counted: a look-ahead takes no characters."""
+    return F.regexp_count(F.concat(F.lit(" "), F.array_join(col(tokens), " "), F.lit(" ")), F.lit(rf"(?= \Q{needle}\E )"))
+
+
+def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row: lambdas over it see a value, not the expression again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def period_name(ord_) -> Column:

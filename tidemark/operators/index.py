@@ -16,7 +16,8 @@ LEAST_TALKS = 2
 def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """talk_id, ord, speaker, grp, pos, segs, norm of every paragraph of an address."""
     paras = C.paragraphs(C.addresses(spark, sf_dir))
-    return paras.select("talk_id", "ord", "speaker", "grp", "pos", T.sentences("para").alias("segs")).withColumn("norm", F.flatten("segs"))
+    segs = T.pinned(paras, "segs", T.sentences("para")).select("talk_id", "ord", "speaker", "grp", "pos", "segs")
+    return T.pinned(segs, "norm", F.flatten("segs"))
 
 
 def masked_positions(paras: DataFrame, shingles: DataFrame, n: int = 6) -> DataFrame:
@@ -88,9 +89,8 @@ def ord_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phrase_history(spark: SparkSession, sf_dir: str, phrase: str) -> DataFrame:
     """ord, count (overlapping), talks, speakers of any phrase in the clean text."""
-    n = len(phrase.split())
     uses = clean_paragraphs(spark, sf_dir).select("talk_id", "ord", "speaker", F.explode("clean").alias("seg")).where(F.array_join("seg", " ").contains(phrase))
-    counted = uses.select("talk_id", "ord", "speaker", F.size(F.filter(T.windows("seg", n), lambda g: g == phrase)).alias("k")).where("k > 0")
+    counted = uses.select("talk_id", "ord", "speaker", T.overlapping("seg", phrase).alias("k")).where("k > 0")
     return counted.groupBy("ord").agg(F.sum("k").alias("count"), F.countDistinct("talk_id").alias("talks"), F.countDistinct("speaker").alias("speakers"))
 
 

@@ -86,7 +86,7 @@ def visualize_word_changes(talks: DataFrame, early, late, top: int = 15, least:
 def compare_phrases(talks: DataFrame, early, late, sizes=(2, 3), top: int = 25, least: int = 5, features: int = 5000) -> DataFrame:
     """As compare_time_periods for n-grams over the words of three letters and more; the most frequent ones only."""
     side = F.when(F.col("year").between(*early), 0).when(F.col("year").between(*late), 1)
-    toks = talks.select(side.alias("side"), T.letter_runs("text", 3).alias("toks")).where("side IS NOT NULL")
+    toks = T.pinned(talks.select(side.alias("side"), "text").where("side IS NOT NULL"), "toks", T.letter_runs("text", 3))
     grams = toks.select("side", F.explode(F.flatten(F.array(*[T.windows("toks", n) for n in range(sizes[0], sizes[1] + 1)]))).alias("word"))
     counts = grams.groupBy("word").agg(F.count_if(F.col("side") == 0).alias("early_count"), F.count_if(F.col("side") == 1).alias("late_count"))
     vocabulary = counts.orderBy((F.col("early_count") + F.col("late_count")).desc(), "word").limit(features)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("temporal", "index", "signals")
+MODULES = ("temporal", "index", "signals", "tokens", "relational", "ingest", "reuse", "citations")
 
 
 def collect() -> tuple[dict, dict]:

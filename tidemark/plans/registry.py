@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("temporal", "index", "signals", "tokens", "relational", "ingest", "reuse", "citations")
+MODULES = ("temporal", "ingest", "tokens", "index", "signals", "relational", "reuse", "citations", "vectors", "groups", "report")
 
 
 def collect() -> tuple[dict, dict]:

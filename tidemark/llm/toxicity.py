@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_LETTERS, id_column, int_ids, slices, text_buffer, word_hashes, word_spans
+from .common import NOT_LETTERS, id_column, int_ids, release, slices, text_buffer, word_hashes, word_spans
 
 BUCKETS = 1 << 20
 MOST_ROWS = 1 << 13
@@ -193,21 +193,29 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Classifier:
 
 
 def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The midpoint between neighbouring logits with the best F1."""
+    """The midpoint between neighbouring different logits with the best F1; never below all of them."""
     order = np.argsort(-z)
     z, y = z[order], y[order]
-    hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    best = int(f1.argmax())
-    low = z[best + 1] if best + 1 < len(z) else z[best] - 1
-    return float((z[best] + low) / 2)
+    ends = np.flatnonzero(z[:-1] > z[1:])
+    if not len(ends):
+        return float(z[0]) + 1
+    f1 = 2 * np.cumsum(y)[ends] / (ends + 1 + y.sum())
+    best = ends[int(f1.argmax())]
+    return float((z[best] + z[best + 1]) / 2)
 
 
 def _calibrate(model: Classifier, words: np.ndarray, first: np.ndarray, labels: np.ndarray, held: np.ndarray, least: int = 25) -> None:
-    """One cut per language from the documents kept from fitting; languages with few toxic ones take the common cut."""
+    """One cut per language from the documents kept from fitting; languages with few toxic ones take the common cut.
+
+    Where the documents kept hold few toxic ones at all, the cut comes from all, and above a text without evidence."""
     z, lang = model.logits(words, first), languages(words, first)
-    rows = held if 0 < labels[held].sum() < held.sum() else np.ones(len(labels), bool)
-    model.thresholds[:] = _best_cut(z[rows], labels[rows])
+    few = labels[held].sum() < least
+    rows = np.ones(len(labels), bool) if few else held
+    cut = _best_cut(z[rows], labels[rows])
+    if few:
+        plain = float(np.concatenate([np.maximum(s, 0) for s in model.shift]) @ model.out + model.bias)
+        cut = max(cut, plain + 0.1, model.bias + 0.1)
+    model.thresholds[:] = cut
     for k in range(len(_LANGS)):
         own = rows & (lang == k)
         if labels[own].sum() >= least and labels[own].sum() < own.sum():
@@ -232,7 +240,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT, parts: int =
     rows = labelled_sample(docs, labels, most, parts).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text or ""))
     rows = rows[: 2 * most]
-    return fit([r.text or "" for r in rows], np.array([r.toxic for r in rows]))
+    model = fit([r.text or "" for r in rows], np.array([r.toxic for r in rows]))
+    del rows
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Classifier, parts: int = 5) -> DataFrame:

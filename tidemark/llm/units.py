@@ -43,7 +43,7 @@ def _spread(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class UnitEncoder:
     """``most``: units kept between batches; ``longest``: mean characters a unit beyond which a text isn't cut."""
 
-    def __init__(self, path: str, blank: bool, most: int = 500_000, longest: int = 400):
+    def __init__(self, path: str, blank: bool, most: int = 300_000, longest: int = 400):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -10,9 +10,9 @@ A document's set is its distinct 5-word shingles (64-bit hashes). Two sets link
    first n - ceil(0.75 n) + 1 in that order). Classes that share a prefix shingle are candidates.
 4. Candidates are verified fragment by fragment: every fragment counts the pair's partial overlap over its own
    shingles, and the partial overlaps are summed per pair.
-5. Groups aren't expanded into all pairs. In a few rounds every class is compared with one leader, the first in a hash
-   order among the leaders of its buckets, and linked groups are merged: large groups of near copies fall together. Then
-   the pairs of a bucket that aren't in one group yet are candidates, if the places of the shared shingle in both orders
+5. Groups aren't expanded into all pairs. In a few rounds every bucket has a leader (its smallest doc_id, which is often
+   the original; later the first in a hash order), every class is compared with the leader that leads most of its
+   buckets, and linked groups are merged: large groups of near copies fall together. Then the pairs of a bucket that aren't in one group yet are candidates, if the places of the shared shingle in both orders
    leave room for the overlap that a link needs, and all of those are verified: no link between groups is missed.
 
 Exact up to collisions of 64-bit hashes. Words are lower-cased in A-Z only. A null, empty or blank text has an empty
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, id_column, int_ids, shingle_sets, slices, text_buffer
+from .common import durable, id_column, int_ids, release, shingle_sets, slices
 
 WIDTH = 5
 PERCENT = 75
@@ -117,6 +117,8 @@ def _shared(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _count_shared(group: pa.Table) -> pa.Table:
     owner, _, _ = _shared(*_unpacked(group))
     keys, counts = np.unique(owner, return_counts=True)
+    del owner
+    release()
     return pa.table({"class_id": keys, "shared": counts.astype(np.int64)})
 
 
@@ -125,7 +127,7 @@ def survivors(docs: DataFrame, known: DataFrame, fragments: int, width: int = WI
 
     def packed(batches):
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text"):
                 rows = _fragments(((_class_key(s), s) for s in shingle_sets(part.column("text"), width) if len(s)), fragments)
                 if rows is not None:
                     yield rows
@@ -142,7 +144,7 @@ def _sets_of(docs: DataFrame, alive: DataFrame, sent: bool, fragments: int, widt
 
     def packed(batches):
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text"):
                 rows = _fragments(((_class_key(s), s) for s in shingle_sets(part.column("text"), width) if len(s)), fragments)
                 if rows is not None:
                     yield rows
@@ -211,6 +213,8 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, fragments: int) -> DataFrame:
             counts[row:end] = np.bincount(pair[entry[place] == key], minlength=end - row)
             row = end
         some = counts > 0
+        del owner, rank, entry, hashes, values
+        release()
         return pa.table({"a": a[some], "b": b[some], "overlap": counts[some]})
 
     spread = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment"))
@@ -255,12 +259,13 @@ def _groups(docs: DataFrame, alive: DataFrame, width: int, percent: int) -> Data
     postings = durable(_postings(sets, alive, percent), "join_postings")
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
-    own = durable(postings.withColumn("root", F.col("class_id")), "join_own")
+    own = durable(postings.join(alive.select("class_id", "rep"), "class_id").withColumn("root", F.col("class_id")), "join_own")
     for step in range(1, ROUNDS + 1):
-        order = F.struct(F.xxhash64("class_id", F.lit(step)).alias("h"), "class_id", "n", "root")
+        order = F.struct((F.col("rep") if step == 1 else F.xxhash64("class_id", F.lit(step))).alias("h"), "class_id", "n", "root")
         lead = own.groupBy("hash").agg(F.min(order).alias("lead"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hash", "lead")
         met = own.join(lead, "hash").where(F.col("root") != F.col("lead.root")).select("class_id", F.col("n").alias("n_b"), F.col("root").alias("root_b"), "lead", F.col("lead.n").alias("n_a")).where(near)
-        first = met.groupBy("class_id").agg(F.min("lead").alias("lead"), F.first("n_b").alias("n_b"), F.first("root_b").alias("root_b"))
+        led = met.groupBy("class_id", "lead").agg(F.count("*").alias("c"), F.first("n_b").alias("n_b"), F.first("root_b").alias("root_b"))
+        first = led.groupBy("class_id").agg(F.max(F.struct("c", "lead")).alias("x"), F.first("n_b").alias("n_b"), F.first("root_b").alias("root_b")).withColumn("lead", F.col("x.lead"))
         first = first.select(F.col("lead.class_id").alias("a"), F.col("class_id").alias("b"), F.col("lead.n").alias("n_a"), "n_b", F.col("lead.root").alias("root_a"), "root_b")
         new = _verified(first, sets, fragments, percent, f"join_step_{step}").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
         own = _merged(own, new, f"join_merge_{step}")

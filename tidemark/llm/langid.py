@@ -9,7 +9,8 @@ the languages, so the transitions see switches.
 Forward-backward runs over all words of a batch at once: the word sequence, with restarts where a document begins, is
 folded into lanes; each lane's transfer matrix links it to the next, which is exact for documents of any length.
 
-The model is fitted on at most ``PER_LANG`` documents of each language, chosen by a hash of doc_id. Null text and text
+The model is fitted on at most ``PER_LANG`` documents of each language, chosen by a hash of doc_id among those of up to
+``LONGEST_FIT`` characters. Null text and text
 without a letter give ``und`` and score 0; with nothing to learn from every document is ``und``. Null languages are not
 learned from. Repeated rows are labelled alike, extra columns are ignored, an empty table gives no rows.
 """
@@ -29,6 +30,8 @@ BITS = 16
 PER_LANG = 400
 #: Languages that are learned: the most frequent ones of the fold, up to so many.
 MOST_LANGS = 64
+#: Longest text, in characters, that is learned from.
+LONGEST_FIT = 100_000
 STEPS = 160
 SPAN = 64
 _FOLD = np.where(NOT_LETTERS, 0, np.arange(256)).astype(np.uint32)
@@ -140,7 +143,9 @@ class Chain:
         sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(post, 0)])
         share = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(np.diff(first), 1)[:, None]
         best = share.argmax(1)
-        none = np.diff(first) == 0
+        data, at = text_buffer(texts)
+        plain = np.concatenate([[0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))])
+        none = plain[at[1:]] == plain[at[:-1]]
         for row in np.flatnonzero(none):
             none[row] = not any(c.isalpha() for c in texts[row].as_py() or "")
         return ["und" if e else self.langs[b] for e, b in zip(none, best, strict=True)], np.where(none, 0.0, np.clip(share.max(1), 0, 1))
@@ -224,7 +229,7 @@ def train(docs: DataFrame, fold: int = 2, parts: int = 4, per_lang: int = PER_LA
         chance = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * per_lang / r["count"]))])
         draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
         kept: dict[str, int] = {}
-        rows = known.where(draw < F.try_element_at(chance, F.col("lang"))).limit(int(3 * per_lang * len(counts))).collect()
+        rows = known.where(F.length("text") <= LONGEST_FIT).where(draw < F.try_element_at(chance, F.col("lang"))).limit(int(3 * per_lang * len(counts))).collect()
         for r in sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id), r.text)):
             if kept.get(r.lang, 0) < per_lang:
                 kept[r.lang] = kept.get(r.lang, 0) + 1

@@ -30,7 +30,7 @@ BITS = 11
 LEAST, MOST = 512, 8192
 LEVEL = 9
 #: Rows of the table of copies and sharers up to which it is sent to every executor (about 80 bytes a row).
-MOST_SENT = 1_000_000
+MOST_SENT = 300_000
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)).astype(np.uint32)
 
 

@@ -28,6 +28,8 @@ KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 LABELS = len(KINDS) + 1
 MOST_FIT = 3000
+#: Longest text, in characters, that is learned from.
+LONGEST_FIT = 100_000
 NEAR = 40
 ROUNDS = 30
 BASE_WEIGHT = 12.0
@@ -246,7 +248,7 @@ def train(docs: DataFrame, most: int = MOST_FIT) -> Field:
     rows = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9]{4}"))
     order = F.xxhash64(F.lit("pii"), "doc_id")
     ids = rows.select("doc_id", order.alias("h")).orderBy("h", "doc_id").limit(most)
-    found = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").collect()
+    found = docs.select("doc_id", "text").where(F.length("text") <= LONGEST_FIT).join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").limit(2 * most).collect()
     return fit([r.text or "" for r in sorted(found, key=lambda r: (r.doc_id, r.text or ""))[:most]])
 
 

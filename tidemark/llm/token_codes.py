@@ -30,6 +30,8 @@ STEP = 512
 END = 2
 #: Documents to a file, about; their number follows from the table's row count.
 FILE_DOCS = 2048
+#: Files at most: beyond MOST_FILES * FILE_DOCS documents the files grow instead.
+MOST_FILES = 20_000
 
 
 def encode_file(doc_ids: np.ndarray, at: np.ndarray, ids: np.ndarray) -> bytes:
@@ -113,7 +115,7 @@ class CodeFile:
 def write_files(docs: DataFrame, path: str, end: int = END, blank: bool = False, file_docs: int = FILE_DOCS) -> DataFrame:
     """(part int, tokens long, image binary): files of all documents; parts ascend with doc_id. Only token bytes are shuffled."""
     docs = docs.select("doc_id", "text")
-    parts = max(1, docs.count() // file_docs)
+    parts = min(MOST_FILES, max(1, docs.count() // file_docs))
     bounds = np.array(docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else [], float)
 
     def tokenised(batches):

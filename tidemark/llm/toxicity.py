@@ -7,7 +7,8 @@ a logit. At scoring time embedding and filter collapse into one table per filter
 table look-ups a word. The logit is shifted by a threshold calibrated per language, where the language is guessed from
 function words in the text itself; the score is the logistic of what is left, so 0.5 is the calibrated cut.
 
-The model is fitted on at most ``MOST_FIT`` labelled documents of each class, taken in the order of a hash of doc_id;
+The model is fitted on at most ``MOST_FIT`` labelled documents of each class, taken in the order of a hash of doc_id
+(texts over ``LONGEST_FIT`` characters are left out there);
 a fifth of them is kept from fitting for the thresholds. Scoring covers every document and its whole text.
 
 Null texts count as empty; texts without letters have zero features and get the bias' score. Rows with null or unknown
@@ -32,6 +33,8 @@ SIZE = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 MOST_FIT = 2500
+#: Longest text, in characters, that is learned from.
+LONGEST_FIT = 100_000
 STEPS = 700
 #: Function words of the languages whose thresholds are told apart.
 FUNCTION_WORDS = {
@@ -233,7 +236,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT, pa
     chosen = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for v in (0, 1)]
     # at most 2 * most rows of two numbers
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))
-    return docs.select("doc_id", "text").join(ids, "doc_id")
+    # a repeated id brings all of its rows, so these are bounded as well
+    return docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST_FIT).join(ids, "doc_id").limit(4 * most)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT, parts: int = 5) -> Classifier:

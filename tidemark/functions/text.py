@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .lexicon import ABBREVIATIONS, STOPWORDS
 
-WORD = r"(?<![0-9a-z])[a-z]+(?:['’][a-z]+)*"
+WORD = r"(?<![0-9a-z])[a-z]+(?:'[a-z]+)*"
 QUIET_STOP = rf"(^|[^a-z0-9'’])([a-z]|{'|'.join(ABBREVIATIONS)})\."
 
 
@@ -17,7 +17,7 @@ def col(c) -> Column:
 
 def words(text) -> Column:
     """Lower-case words with inner apostrophes; runs that hold a digit are no words."""
-    return F.transform(F.regexp_extract_all(F.lower(col(text)), F.lit(WORD), F.lit(0)), lambda w: F.regexp_replace(w, "’", "'"))
+    return F.regexp_extract_all(F.translate(F.lower(col(text)), "’", "'"), F.lit(WORD), F.lit(0))
 
 
 def letter_runs(text, least: int = 1) -> Column:
@@ -37,10 +37,15 @@ def sentences(text) -> Column:
 
 
 def windows(tokens, n: int) -> Column:
-    """All runs of n tokens, joined by blanks; none where there are fewer tokens (a sequence would count down)."""
+    """All runs of n tokens, joined by blanks; none where there are fewer tokens.
+
+    The list is zipped with its own shifts: slicing it once for every run would copy it every time."""
     t = col(tokens)
-    starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
+    many = F.greatest(F.size(t) - (n - 1), F.lit(0))
+    runs = F.slice(t, F.lit(1), many)
+    for k in range(1, n):
+        runs = F.zip_with(runs, F.slice(t, F.lit(k + 1), many), lambda a, b: F.concat(a, F.lit(" "), b))
+    return runs
 
 
 def stop(word: Column) -> Column:

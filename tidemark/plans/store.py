@@ -32,3 +32,8 @@ def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFra
     if key not in _KEPT:
         _KEPT[key] = written(make(), name)
     return _KEPT[key]
+
+
+def forget() -> None:
+    """Drop what ``kept`` remembers: the next use builds anew."""
+    _KEPT.clear()

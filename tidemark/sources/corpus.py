@@ -20,10 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer partitions than there are cores; a larger input stays as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    return df.repartition(cores) if len(files) < cores and _scan_partitions(df) < cores else df
+
+
+def _scan_partitions(df: DataFrame) -> int:
+    return df._jdf.queryExecution().toRdd().getNumPartitions()
+
+
 def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """talk_id, ord, year, decade, speaker, grp, title, text."""
-    docs = table(spark, sf_dir, "documents")
-    n = docs.count()  # from the files' footers
+    docs = spread(table(spark, sf_dir, "documents"))
+    n = table(spark, sf_dir, "documents").count()  # from the files' footers
     ord_ = (F.floor(F.col("doc_id") * BUCKETS / F.lit(max(n, 1))) + 1).cast("int")
     year = (1971 + F.floor((F.col("ord") - 1) / 2)).cast("int")
     return docs.select(

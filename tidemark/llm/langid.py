@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_LETTERS, id_column, int_ids, slices, text_buffer, word_hashes, word_spans
+from .common import NOT_LETTERS, id_column, int_ids, slices, small_batches, text_buffer, word_hashes, word_spans
 
 BITS = 16
 PER_LANG = 400
@@ -240,6 +240,7 @@ def train(docs: DataFrame, fold: int = 2, parts: int = 4, per_lang: int = PER_LA
 
 def predict(docs: DataFrame, model: Chain, fold: int = 2, parts: int = 4) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def labelled(batches):

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, durable, mix64, slices, text_buffer
+from .common import NULL_ID, durable, mix64, slices, small_batches, text_buffer
 
 UNIT = 576
 BITS = 11
@@ -179,6 +179,7 @@ def read_joined(gathered: DataFrame) -> DataFrame:
 
 def media_table(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every row."""
+    small_batches(docs.sparkSession)
     listed = durable(manifests(docs), "media_lists")
     keyed = listed.withColumn("doc_key", F.coalesce("doc_id", F.lit(NULL_ID)))
     distinct = durable(keyed.groupBy("pid").agg(F.min("doc_key").alias("writer"), F.first("digests").alias("digests"), F.first("sha").alias("sha")), "media_distinct")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, id_column, int_ids, release, shingle_sets, slices
+from .common import durable, id_column, int_ids, release, shingle_sets, slices, small_batches
 
 WIDTH = 5
 PERCENT = 75
@@ -293,6 +293,7 @@ def _merged(own: DataFrame, links: DataFrame, name: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id of every row."""
+    small_batches(docs.sparkSession)
     known = durable(classes(docs, width), "join_classes")
     total = known.agg(F.sum("n_shingles").alias("s")).first().s or 0
     alive = durable(survivors(docs, known, max(LEAST_FRAGMENTS, -(-total // FRAGMENT)), width, percent), "join_alive")

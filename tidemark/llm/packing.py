@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_column, int_ids, slices
+from .common import NULL_ID, id_column, int_ids, slices, small_batches
 from .units import encoder
 
 SIZE = 1024
@@ -35,6 +35,7 @@ def cut(length: int, size: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32."""
+    small_batches(docs.sparkSession)
 
     def made(batches):
         coder = encoder(path, True)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
@@ -258,6 +258,7 @@ def _joined(spans: list) -> str:
 
 def find(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of every row; counts are of base spans."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def searched(batches):
@@ -289,6 +290,7 @@ def masked(text: str, spans: list) -> str:
 
 def redact(docs: DataFrame, field: Field) -> DataFrame:
     """All rows and columns of ``docs`` with personal data masked in ``text``; ``n_chars``, if there, follows."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def replaced(batches):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, id_column, int_ids, slices
+from .common import durable, id_column, int_ids, slices, small_batches
 from .units import encoder
 
 MAGIC = b"TMDC"
@@ -114,6 +114,7 @@ class CodeFile:
 
 def write_files(docs: DataFrame, path: str, end: int = END, blank: bool = False, file_docs: int = FILE_DOCS) -> DataFrame:
     """(part int, tokens long, image binary): files of all documents; parts ascend with doc_id. Only token bytes are shuffled."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     parts = min(MOST_FILES, max(1, docs.count() // file_docs))
     bounds = np.array(docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else [], float)

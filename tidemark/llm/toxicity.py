@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_LETTERS, id_column, int_ids, release, slices, text_buffer, word_hashes, word_spans
+from .common import NOT_LETTERS, id_column, int_ids, release, slices, small_batches, text_buffer, word_hashes, word_spans
 
 BUCKETS = 1 << 20
 MOST_ROWS = 1 << 13
 SIZE = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-MOST_FIT = 2500
+MOST_FIT = 1500
 #: Longest text, in characters, that is learned from.
 LONGEST_FIT = 100_000
 STEPS = 700
@@ -253,6 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT, parts: int =
 def score(docs: DataFrame, model: Classifier, parts: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     spark = docs.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast((model.slots, model.tables, model.shift, model.out, model.bias, model.thresholds))
 
     def scored(batches):
@@ -270,6 +271,7 @@ def score(docs: DataFrame, model: Classifier, parts: int = 5) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Classifier) -> DataFrame:
     """Rows of ``docs``, all columns, whose text scores under 0.5."""
     spark = docs.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast((model.slots, model.tables, model.shift, model.out, model.bias, model.thresholds))
 
     def kept(batches):

@@ -61,12 +61,12 @@ def project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PCA(k=2, inputCol="features", outputCol="p").fit(rows).transform(rows).select("vec_id", "label", p[0].alias("x"), p[1].alias("y"))
 
 
-def hashed(spark: SparkSession, sf_dir: str, size: int = 64) -> DataFrame:
-    """A vector of a talk without a language model: counts of its title's and first 1,000 characters' words by hash."""
-    toks = C.talks(spark, sf_dir).select("talk_id", F.explode(T.words(F.concat_ws(" ", "title", F.substring("text", 1, 1000)))).alias("w"))
-    per = toks.groupBy("talk_id", F.pmod(F.xxhash64("w"), F.lit(size)).cast("int").alias("k")).agg(F.count("*").alias("n"))
-    by = per.groupBy("talk_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))
-    return by.select("talk_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)).cast("double")).alias("v"))
+def hashed(texts: DataFrame, key: str, size: int = 64) -> DataFrame:
+    """A vector of a text without a language model: counts of its words by hash; ``texts`` has the key and text."""
+    toks = texts.select(key, F.explode(T.words("text")).alias("w"))
+    per = toks.groupBy(key, F.pmod(F.xxhash64("w"), F.lit(size)).cast("int").alias("k")).agg(F.count("*").alias("n"))
+    by = per.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))
+    return by.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)).cast("double")).alias("v"))
 
 
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +232,7 @@ cnt AS (SELECT topic, ord, count(*) AS passages FROM asg GROUP BY 1, 2)"""
 _c = C.BUCKETS
 
 QUERIES = {
-    "e_generate": hashed,
+    "e_generate": lambda s, d: hashed(C.talks(s, d).select("talk_id", F.concat_ws(" ", "title", F.substring("text", 1, 1000)).alias("text")), "talk_id"),
     "e_search": lambda s, d: search(vectors(s, d).where("ord BETWEEN 5 AND 30"), _query(s, d, 7)),
     "e_similar": lambda s, d: similar(s, d, 7, 10, True),
     "e_cluster": kmeans,
@@ -243,6 +243,8 @@ QUERIES = {
     "t_passages": lambda s, d: passages(s, d).select("talk_id", "seq", "first_pos", "last_pos", "words"),
     "t_chunks": lambda s, d: passages(s, d).select("talk_id", "seq", "sha"),
     "t_cache": lambda s, d: missing(passages(s, d), passages(s, d).where("talk_id % 2 = 0")),
+    "t_embed": lambda s, d: hashed(passages(s, d).join(missing(passages(s, d), passages(s, d).where("talk_id % 2 = 0")), "sha", "left_semi"), "sha"),
+    "t_load": lambda s, d: centroids(s, d).select("topic", "size", F.size("centroid").alias("dim"), F.concat(F.lit("topic "), F.col("topic").cast("string")).alias("label"), (F.col("topic") < 0).alias("junk")),
     "t_matrix": lambda s, d: assigned(s, d).join(vectors(s, d).select("vec_id", "v"), "vec_id").where("topic >= 0").select("vec_id", "topic", F.round(T.dot("v", "v"), 5).alias("norm")),
     "t_cluster": lambda s, d: kmeans(s, d, 20),
     "t_centroids": lambda s, d: centroids(s, d).select("topic", "size", F.posexplode("centroid").alias("k", "x")).select("topic", "size", "k", F.round("x", 6).alias("x")),
@@ -271,6 +273,7 @@ ORACLES = {
     "t_threshold": f"WITH {_TOPIC} SELECT round(quantile_cont(sim, 0.1), 6) AS cut FROM near",
     "t_assign": f"WITH {_TOPIC} SELECT * FROM asg",
     "t_ctfidf": f"WITH {_CT} SELECT * FROM rk WHERE rank <= 15",
+    "t_load": f"WITH {_TOPIC} SELECT topic, size, len(centroid)::INT AS dim, 'topic ' || topic AS label, topic < 0 AS junk FROM cen",
     "t_fit": f"WITH {_TOPIC} SELECT topic, size FROM cen",
     "t_label": f"WITH {_CT} SELECT grp, string_agg(term, ', ' ORDER BY rank) AS label FROM rk WHERE rank <= 3 GROUP BY 1",
     "t_counts": f"WITH {_TOPIC} SELECT * FROM cnt",

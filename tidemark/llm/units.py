@@ -53,6 +53,18 @@ class UnitEncoder:
     def _clear(self) -> None:
         self.units, self.pool, self.at = _Units(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.bad, self.mark, self.tail = (np.zeros(0, bool) for _ in range(3))
+        self.uses = np.zeros(0, np.int64)
+
+    def _trim(self) -> None:
+        """Forget the units that were met once, and the rarer ones of the rest beyond half of what is kept."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > self.most // 2:
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: self.most // 2]])
+        names, self.units = list(self.units), _Units()
+        self.units.update(zip(map(names.__getitem__, keep.tolist()), range(len(keep)), strict=True))
+        sizes = self.at[keep + 1] - self.at[keep]
+        self.pool, self.at = self.pool[_spread(self.at[keep], sizes)], np.concatenate([[0], np.cumsum(sizes)])
+        self.bad, self.mark, self.tail, self.uses = self.bad[keep], self.mark[keep], self.tail[keep], self.uses[keep] // 2
 
     def _learn(self) -> None:
         """Ids of the units seen for the first time.
@@ -99,7 +111,7 @@ class UnitEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
         if len(self.units) > self.most:
-            self._clear()
+            self._trim()
         direct, pieces, counts = set(), [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if not text:
@@ -114,6 +126,9 @@ class UnitEncoder:
         numbers = np.fromiter(map(self.units.__getitem__, pieces), np.int64, len(pieces))
         if self.units.fresh:
             self._learn()
+        met = np.bincount(numbers, minlength=len(self.units))
+        met[: len(self.uses)] += self.uses
+        self.uses = met
         owner = np.repeat(np.arange(len(texts)), counts)
         wrong = self.bad[numbers]
         wrong[1:] |= self.mark[numbers[1:]] & ~self.tail[numbers[:-1]]

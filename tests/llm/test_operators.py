@@ -91,6 +91,22 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.train(odd, spark.createDataFrame([], "doc_id long, toxic int")).out.sum() == 0
 
 
+def test_toxic_cut_does_not_depend_on_the_sample(spark):
+    """Overlapping classes at 1 to 10: the cut fits the counts of the tables, not the balanced sample's."""
+    rng, rows = np.random.default_rng(9), []
+    for i in range(6600):
+        toxic = int(i % 11 == 0)
+        words = [f"w{x}" for x in rng.integers(0, 500, 12)] + ["rude"] * (rng.random() < (0.9 if toxic else 0.4)) + ["vile"] * (rng.random() < (0.5 if toxic else 0.05))
+        rows.append((i, " ".join(rng.permutation(words)), toxic))
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(both.select("doc_id", "text"), both.select("doc_id", "toxic"), most=300)
+    found = toxicity.score(both.select("doc_id", "text"), model).join(both.select("doc_id", "toxic"), "doc_id").where("held_out")
+    said, right = found.where("predicted = 1").count(), found.where("predicted = 1 AND toxic = 1").count()
+    actual = found.where("toxic = 1").count()
+    # "vile" alone gives an F1 of 0.5, "rude" 0.3; at 1 to 1 "rude" would be the better one
+    assert said < 2 * actual and 2 * right / (said + actual) > 0.4
+
+
 def test_pii_base_and_skip_edges(spark, odd, empty):
     text = "call +1 (743) 555-3824 now, later 743 555-3824 again; a.b@c.de @x 1.2.3.4.5 999.1.1.1; 4111 1111 1111 1111"
     base = pii.base_spans(text)

@@ -8,8 +8,9 @@ table look-ups a word. The logit is shifted by a threshold calibrated per langua
 function words in the text itself; the score is the logistic of what is left, so 0.5 is the calibrated cut.
 
 The model is fitted on at most ``MOST_FIT`` labelled documents of each class, taken in the order of a hash of doc_id
-(texts over ``LONGEST_FIT`` characters are left out there);
-a fifth of them is kept from fitting for the thresholds. Scoring covers every document and its whole text.
+(texts over ``LONGEST_FIT`` characters are left out there). The thresholds come from all labelled documents outside the
+held-out fold: their logits are counted by language, class and bin, and those that were not fitted on stand, class by
+class, for as many as the tables hold. Scoring covers every document and its whole text.
 
 Null texts count as empty; texts without letters have zero features and get the bias' score. Rows with null or unknown
 label are not learned from; with labels of one class only, all scores are the smoothed rate of that class. Repeated
@@ -22,6 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ MOST_FIT = 1500
 #: Longest text, in characters, that is learned from.
 LONGEST_FIT = 100_000
 STEPS = 700
+#: Logits are counted in bins of this width, up to so far from 0.
+BIN = 1 / 64
+FARTHEST = 40
+#: Labelled ids up to which they are sent to every executor (8 bytes each); beyond it every document is scored.
+MOST_SENT = 4_000_000
 #: Function words of the languages whose thresholds are told apart.
 FUNCTION_WORDS = {
     "de": "der die das und ist nicht von den ein eine zu mit sich auf für",
@@ -225,14 +232,80 @@ def _calibrate(model: Classifier, words: np.ndarray, first: np.ndarray, labels:
             model.thresholds[k] = _best_cut(z[own], labels[own])
 
 
+def _best_bin(counts: np.ndarray) -> float:
+    """As ``_best_cut`` over (2, bins) weights of clean and toxic documents; the lowest bin is the first."""
+    used = np.flatnonzero(counts.sum(0) > 0)[::-1]
+    clean, toxic = counts[:, used]
+    middle = (used + 0.5) * BIN - FARTHEST
+    if len(used) < 2:
+        return float(middle[0]) + 1
+    f1 = 2 * np.cumsum(toxic) / (np.cumsum(clean + toxic) + toxic.sum())
+    best = int(f1[:-1].argmax())
+    return float((middle[best] + middle[best + 1]) / 2)
+
+
+def recalibrate(model: Classifier, counts: np.ndarray, least: int = 25) -> None:
+    """Cuts from logit counts by (language, class, fitted on or not, bin) of all labelled documents.
+
+    Documents not fitted on are weighted to the class counts of all. Where they hold under ``least`` toxic ones, all
+    documents count, and the cut is above a text without evidence."""
+    every = counts.sum(2).astype(float)
+    total, fresh = every.sum(2), counts[:, :, 0].astype(float)
+    if not total.sum(0).all():
+        return
+    few = fresh[:, 1].sum() < least or not fresh[:, 0].any()
+    used = every if few else fresh
+    cut = _best_bin(used.sum(0) * (total.sum(0) / used.sum((0, 2)))[:, None])
+    if few:
+        plain = float(np.concatenate([np.maximum(s, 0) for s in model.shift]) @ model.out + model.bias)
+        cut = max(cut, plain + 0.1, model.bias + 0.1)
+    model.thresholds[:] = cut
+    for k in range(len(_LANGS)):
+        own = used[k].sum(1)
+        if own[1] >= least and own[0]:
+            model.thresholds[k] = _best_bin(used[k] * (total[k] / own)[:, None])
+
+
+def logit_counts(docs: DataFrame, known: DataFrame, model: Classifier, fitted: np.ndarray) -> np.ndarray:
+    """How many documents with a label each (language, class, fitted on or not, bin) has; ``known`` has doc_id, toxic."""
+    small_batches(docs.sparkSession)
+    if known.count() <= MOST_SENT:
+        docs = docs.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    sent = docs.sparkSession.sparkContext.broadcast((model.slots, model.tables, model.shift, model.out, model.bias, np.sort(fitted)))
+    bins = int(2 * FARTHEST / BIN)
+
+    def binned(batches):
+        own = Classifier.__new__(Classifier)
+        own.slots, own.tables, own.shift, own.out, own.bias, learned = sent.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words, first = _word_ids(part.column("text"))
+                z = np.clip((own.logits(words, first) + FARTHEST) / BIN, 0, bins - 1)
+                ids = id_column(int_ids(part.column("doc_id")))
+                learnt = pa.compute.is_in(ids, value_set=pa.array(learned, pa.int64()))
+                yield pa.record_batch([ids, pa.array(languages(words, first).astype(np.int32)), learnt, pa.array(z.astype(np.int32))], ["doc_id", "lang", "fitted", "bin"])
+
+    made = docs.select("doc_id", "text").mapInArrow(binned, "doc_id long, lang int, fitted boolean, bin int")
+    out = np.zeros((len(_LANGS) + 1, 2, 2, bins), np.int64)
+    for r in made.join(known, "doc_id").groupBy("lang", "toxic", "fitted", "bin").count().collect():
+        out[r["lang"], int(r["toxic"]), int(r["fitted"]), r["bin"]] = r["count"]
+    return out
+
+
 def remainder(doc_id, parts: int):
     """crc32 of the id as text, modulo ``parts``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
+def labelled(labels: DataFrame, parts: int = 5) -> DataFrame:
+    """doc_id, toxic of the labelled ids outside the held-out fold."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return known.where(remainder(F.col("doc_id"), parts) != 0)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT, parts: int = 5) -> DataFrame:
     """doc_id, text, toxic of at most ``most`` documents of each class outside the held-out fold."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(remainder(F.col("doc_id"), parts) != 0)
+    known = labelled(labels, parts)
     chosen = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for v in (0, 1)]
     # at most 2 * most rows of two numbers
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))
@@ -244,9 +317,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT, parts: int =
     rows = labelled_sample(docs, labels, most, parts).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text or ""))
     rows = rows[: 2 * most]
-    model = fit([r.text or "" for r in rows], np.array([r.toxic for r in rows]))
+    classes = np.array([r.toxic for r in rows])
+    model = fit([r.text or "" for r in rows], classes)
+    # those that fit keeps from fitting are every fifth
+    fitted = np.array([r.doc_id for k, r in enumerate(rows) if k % 5 != 4], np.int64)
     del rows
     release()
+    if len(set(classes.tolist())) == 2:
+        recalibrate(model, logit_counts(docs, labelled(labels, parts), model, fitted))
     return model
 
 

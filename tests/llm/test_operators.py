@@ -156,6 +156,23 @@ def test_language(odd, empty):
     assert langid.predict(empty, langid.train(empty)).count() == 0
 
 
+def test_language_without_words():
+    """A language of empty texts or digits takes nothing from the others."""
+    texts = ["the cat and the dog of the house"] * 20 + ["der hund und die katze aus dem haus"] * 20 + ["", "123 456"]
+    model = langid.fit(texts, ["en"] * 20 + ["de"] * 20 + ["und", "aaa"])
+    names, share = model.label(pa.array(["the house and the dog", "die katze und der hund", "77"]))
+    assert names == ["en", "de", "und"] and share[0] > 0.8
+
+
+def test_language_of_long_texts_only(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LONGEST_FIT", 100)
+    rows = [(i, "the cat and the dog of the house " * 2, "en") for i in range(40)] + [(100 + i, "der hund und die katze aus dem haus " * 9, "de") for i in range(40)]
+    rows += [(200 + i, "12 !!", "zxx") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.langs == ["de", "en"] and model.label(pa.array(["die katze und der hund"]))[0] == ["de"]
+
+
 def _sets(text, k=5):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])

@@ -9,10 +9,9 @@ the languages, so the transitions see switches.
 Forward-backward runs over all words of a batch at once: the word sequence, with restarts where a document begins, is
 folded into lanes; each lane's transfer matrix links it to the next, which is exact for documents of any length.
 
-The model is fitted on at most ``PER_LANG`` documents of each language, chosen by a hash of doc_id among those of up to
-``LONGEST_FIT`` characters. Null text and text
-without a letter give ``und`` and score 0; with nothing to learn from every document is ``und``. Null languages are not
-learned from. Repeated rows are labelled alike, extra columns are ignored, an empty table gives no rows.
+The model is fitted on at most ``PER_LANG`` documents of each language, chosen by a hash of doc_id, and on the first
+``LONGEST_FIT`` characters of each. Null text and text without a letter give ``und`` and score 0; with nothing to learn
+from every document is ``und``. Null languages and languages without any word are not learned from. Repeated rows are labelled alike, extra columns are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ BITS = 16
 PER_LANG = 400
 #: Languages that are learned: the most frequent ones of the fold, up to so many.
 MOST_LANGS = 64
-#: Longest text, in characters, that is learned from.
+#: Characters of a text, from its start, that are learned from.
 LONGEST_FIT = 100_000
 STEPS = 160
 SPAN = 64
@@ -153,17 +152,15 @@ class Chain:
 
 def fit(texts: list[str], langs: list[str], seed: int = 11) -> Chain:
     """AdaGrad on the log-likelihood of spliced word sequences."""
-    names = sorted(set(langs))
+    code, starts, ends, first, own = word_features(pa.array(texts, pa.large_string()))
+    worded = [(i, lang) for i, lang in enumerate(langs) if first[i + 1] > first[i]]
+    names = sorted({lang for _, lang in worded})
     model = Chain(names)
     if len(names) < 2:
         return model
     n, rng = len(names), np.random.default_rng(seed)
-    column = pa.array(texts, pa.large_string())
-    code, starts, ends, first, own = word_features(column)
     grams = [_grams(code, k).astype(np.int64) for k in (2, 3, 4)]
-    by = [[i for i, lang in enumerate(langs) if lang == name and first[i + 1] > first[i]] for name in names]
-    if not all(by):
-        return model
+    by = [[i for i, lang in worded if lang == name] for name in names]
     squares = [np.full_like(model.grams[0], 1e-8) for _ in range(3)] + [np.full_like(model.lexicon, 1e-8), np.full((n, n), 1e-8)]
     lanes = 48
     for step in range(STEPS):
@@ -221,15 +218,16 @@ def remainder(doc_id, parts: int):
 
 
 def train(docs: DataFrame, fold: int = 2, parts: int = 4, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> Chain:
-    """Fit on documents outside the fold. Counts per language cover all rows; texts come from a hash sample."""
-    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(remainder(F.col("doc_id"), parts) != fold, F.lit(True)))
+    """Fit on documents outside the fold that hold a word. Counts per language cover all rows; texts come from a hash sample."""
+    begun = F.substring("text", 1, LONGEST_FIT)
+    known = docs.select("doc_id", begun.alias("text"), "lang").where(begun.rlike(r"[A-Za-z\x{80}-\x{10FFFF}]")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(remainder(F.col("doc_id"), parts) != fold, F.lit(True)))
     counts = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_langs).collect()
     texts, langs = [], []
     if counts:
         chance = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * per_lang / r["count"]))])
         draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
         kept: dict[str, int] = {}
-        rows = known.where(F.length("text") <= LONGEST_FIT).where(draw < F.try_element_at(chance, F.col("lang"))).limit(int(3 * per_lang * len(counts))).collect()
+        rows = known.where(draw < F.try_element_at(chance, F.col("lang"))).limit(int(3 * per_lang * len(counts))).collect()
         for r in sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id), r.text)):
             if kept.get(r.lang, 0) < per_lang:
                 kept[r.lang] = kept.get(r.lang, 0) + 1

@@ -316,6 +316,22 @@ def test_licenses(spark, empty):
     assert license_scan.scan(empty.select("doc_id", F.col("part").alias("path"), "text")).count() == 0
 
 
+def test_whole_licenses(spark):
+    """License files and headers as a whole, SPDX lines, and rights reserved beside a named license."""
+    full = lambda name: (license_scan.BODIES / f"{name}.txt").read_text()
+    mine = "Copyright (c) 2020, X. All rights reserved.\n\n"
+    comment = "".join(f"# {line}\n" for line in (mine + full("Apache-2.0.header")).splitlines())
+    docs = spark.createDataFrame(
+        [
+            (1, "a/1", mine + full("BSD-3-Clause")), (2, "b/2", mine + full("BSD-2-Clause")), (3, "c/3", mine + full("MIT")), (4, "d/LICENSE", full("GPL-3.0")), (5, "e/5", comment + "import os\n" + "print(os.name)\n" * 400),
+            (6, "f/6", "// SPDX-License-Identifier: GPL-3.0-or-later\nint x;\n" * 1 + "int y;\n" * 50), (7, "g/7", "/* " + full("GPL-3.0.header") + " */\nint main;\n" + "int z;\n" * 300), (8, "h/8", mine + "This work is licensed under the GNU General Public License, version 3 as said.\n"), (9, "i/9", mine), (10, "d/x/10", None),
+        ],
+        "doc_id long, path string, text string",
+    )
+    found = {r.doc_id: r.license for r in license_scan.scan(docs).collect()}
+    assert found == {1: "BSD-3-Clause", 2: "BSD-2-Clause", 3: "MIT", 4: "GPL-3.0", 5: "Apache-2.0", 6: "GPL-3.0", 7: "GPL-3.0", 8: "GPL-3.0", 9: "Proprietary", 10: "GPL-3.0"}
+
+
 def test_maxscore(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(size=(400, 8)).astype(np.float32)

@@ -1,8 +1,13 @@
-"""License of every document: TF-IDF cosine of its notices to templates, else the nearest ancestor directory's license.
+"""License of every document: TF-IDF cosine of its header, text and notices to templates, else the nearest ancestor directory's license.
+
+Headers (the comment block a text begins with) and whole texts of license files, and of others that hold a cue word,
+are compared as one vector each with full license texts and the headers these prescribe (folder ``licenses``); the best
+one at ``LEAST_BODY`` or more, or an SPDX line, names the license before any notice does. Terms weigh by how few of
+these templates hold them.
 
 Notices are the lines and sentences that hold a cue word. Each distinct notice is compared once with every template by
 the cosine of TF-IDF vectors, whose document frequencies count all notices of the corpus and the templates; the best one
-at ``LEAST`` or more names the license. A file by a license file's name, or one that is notices for half of its
+at ``LEAST`` or more names the license; a bare "All rights reserved" does so only where nothing else is named. A file by a license file's name, or one that is notices for half of its
 characters or more, gives its license to its directory (the license of most such files, then the first by name). A
 document without a license of its own inherits from its directory or the nearest ancestor that has one: directories,
 not documents, are joined to their ancestors' paths.
@@ -13,10 +18,17 @@ Very long lines are notices as a whole. An empty table gives no rows. Extra colu
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from functools import cache
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, slices, small_batches
 
 # Short notices of public licenses.
 TEMPLATES = [
@@ -41,6 +53,11 @@ CUE = r"(?i)licen[cs]e|copyright|all rights reserved|spdx|permission is hereby"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 LEAST = 0.6
+LEAST_BODY = 0.8
+BODIES = Path(__file__).parent / "licenses"
+COMMENT = re.compile(r"\s*(?:/\*.*?\*/|<!--.*?-->|\"{3}.*?\"{3}|\'{3}.*?\'{3}|(?:[ \t]*(?:#|//|--|;|%|\*)[^\n]*(?:\n|$))+)", re.S)
+_ID = r"[A-Za-z0-9][A-Za-z0-9.+-]*"
+SPDX = re.compile(rf"SPDX-License-Identifier:[ \t]*\(?({_ID}(?:[ \t]+(?:OR|AND|WITH)[ \t]+{_ID})*)")
 #: Rows of the directory table up to which it is sent to every executor (about 100 bytes a row).
 MOST_SENT = 200_000
 
@@ -56,6 +73,61 @@ def notices(docs: DataFrame) -> DataFrame:
     return units.where(F.col("notice").rlike(CUE))
 
 
+@cache
+def _bodies() -> tuple[list[str], dict[str, float], float, dict[str, list[tuple[int, float]]]]:
+    """Licenses of the full templates, weights of their terms, that of other terms, and the unit vectors by term."""
+    files = sorted(BODIES.glob("*.txt"))
+    counts = [Counter(re.findall(TERM, f.read_text().lower())) for f in files]
+    df = Counter(t for c in counts for t in c)
+    idf = {t: math.log((len(files) + 1) / (n + 1)) + 1 for t, n in df.items()}
+    by_term: dict[str, list[tuple[int, float]]] = {}
+    for k, c in enumerate(counts):
+        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
+        for t, n in c.items():
+            by_term.setdefault(t, []).append((k, n * idf[t] / norm))
+    return [f.name.removesuffix(".txt").removesuffix(".header") for f in files], idf, math.log(len(files) + 1) + 1, by_term
+
+
+def body(text: str, least: float = LEAST_BODY, templates=None) -> tuple[str, float, bool] | None:
+    """License, score, and whether half of the text or more says so: by SPDX line, header or the whole text."""
+    names, idf, other, by_term = templates or _bodies()
+    if said := SPDX.search(text):
+        ids = [re.sub(r"(-only|-or-later|\+)$", "", x) for x in said[1].split()]
+        return " ".join(ids), 1.0, 2 * len(said[0]) >= len(text)
+    best = None
+    lines = re.sub(r"\A(?:\ufeff|#![^\n]*\n)+", "", text)
+    header = COMMENT.match(lines)
+    for block in [text] + ([header[0]] if header else []):
+        counts, dots, square = Counter(re.findall(TERM, block.lower())), [0.0] * len(names), 0.0
+        for t, n in counts.items():
+            w = n * idf.get(t, other)
+            square += w * w
+            for k, x in by_term.get(t, ()):
+                dots[k] += w * x
+        for k, dot in enumerate(dots):
+            score = round(dot / math.sqrt(square), 6) if square else 0.0
+            if score >= least and (best is None or (-score, names[k]) < (-best[1], best[0])):
+                best = (names[k], score, 2 * len(block) >= len(text))
+    return best
+
+
+def bodies(docs: DataFrame, least: float = LEAST_BODY) -> DataFrame:
+    """doc_id, path, license, score, mostly of the rows that ``body`` names a license of; only license files need no cue."""
+    small_batches(docs.sparkSession)
+    templates = _bodies()
+
+    def named(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = [(k, b) for k, t in enumerate(part.column("text").to_pylist()) if (b := body(t or "", least, templates))]
+                own = part.take(pa.array([k for k, _ in found], pa.int64()))
+                columns = [pa.array([b[i] for _, b in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+                yield pa.record_batch([own.column("doc_id"), own.column("path"), *columns], ["doc_id", "path", "license", "score", "mostly"])
+
+    asked = docs.where(F.col("text").rlike(CUE) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))).select("doc_id", "path", "text")
+    return asked.mapInArrow(named, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, path string, license string, score double, mostly boolean")
+
+
 def matched(found: DataFrame, least: float = LEAST) -> DataFrame:
     """notice, license, score of the distinct notices in ``found`` that a template matches."""
     spark = found.sparkSession
@@ -81,9 +153,12 @@ def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
     docs = docs.select("doc_id", "path", "text")
     found = durable(notices(docs), "license_notices")
     named = durable(found.join(matched(found, least), "notice"), "license_named")
+    # 0: header, whole text or SPDX line, 1: notice, 2: notice that only reserves the rights
+    order = lambda tier: F.struct(tier.alias("tier"), (-F.col("score")).alias("low"), "license")
     own = named.groupBy("doc_id", "path", "n_text").agg(
-        F.min(F.struct((-F.col("score")).alias("low"), "license")).alias("b"), (F.sum(F.length("notice")) * 2 >= F.first("n_text")).alias("mostly")
-    )
+        F.min(order(F.when(F.col("license") == "Proprietary", 2).otherwise(1))).alias("b"), (F.sum(F.length("notice")) * 2 >= F.first("n_text")).alias("mostly")
+    ).drop("n_text")
+    own = own.unionByName(bodies(docs).select("doc_id", "path", order(F.lit(0)).alias("b"), "mostly"))
     # rows of one id and path but several texts are one document here
     own = durable(
         own.groupBy("doc_id", "path").agg(F.min("b").alias("b"), F.bool_or("mostly").alias("mostly")).select(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import ingest, report, signals, tokens
+from tidemark.operators import ingest, report, reuse, signals, tokens
 
 
 def one(spark, column, **values):
@@ -78,6 +78,24 @@ def test_display_helpers(spark):
     assert one(spark, report.change_words(F.col("a"), F.col("b")), a=2.0, b=1.0) == "about double the usual amount"
 
 
+def test_boards_collapse_by_users(spark):
+    rows = [(1, 0, 0, 9, 3, 3, [10, 11, 12], "a"), (1, 5, 0, 9, 3, 3, [10, 11, 13], "b"), (1, 9, 0, 9, 2, 2, [20, 21], "c"), (2, 0, 0, 9, 4, 2, [30, 31, 32, 33], "d")]
+    df = spark.createDataFrame(rows, "talk_id long, pos int, first int, words int, talks int, speakers int, users array<long>, text string")
+    found = [(r.order, r.text, r.pieces) for r in reuse.ranked(df).orderBy("order").collect()]
+    assert found == [(1, "a", ["a", "b"]), (2, "d", ["d"]), (3, "c", ["c"])]
+
+
+def test_recent_board_is_cut_by_origin_first(spark, monkeypatch):
+    old = [(k, 0, 0, 9, 9, 1, [1000 * k + u for u in range(3)], "old") for k in range(400)]
+    rows = [(*r, "s") for r in [*old, (999, 0, 0, 9, 2, 40, [7, 8], "late")]]
+    df = spark.createDataFrame(rows, "talk_id long, pos int, first int, words int, talks int, ord int, users array<long>, text string, speaker string")
+    talks = spark.createDataFrame([(u, f"s{u}") for r in rows for u in r[6]], "talk_id long, speaker string")
+    monkeypatch.setattr(reuse, "quotes", lambda s, d: df)
+    monkeypatch.setattr(reuse.C, "talks", lambda s, d: talks)
+    assert [r.text for r in reuse.record(spark, "").where("board = 'recent'").collect()] == ["late"]
+    assert reuse.leaderboard(spark, "", None).count() == 401
+
+
 def test_append_keeps_the_old(spark):
     old = spark.createDataFrame([("a", 1)], "href string, v int")
     new = spark.createDataFrame([("a", 2), ("b", 3), ("b", 3)], "href string, v int")

@@ -96,6 +96,14 @@ def test_recent_board_is_cut_by_origin_first(spark, monkeypatch):
     assert reuse.leaderboard(spark, "", None).count() == 401
 
 
+def test_tidy_reads_the_whole_text(spark, tmp_path):
+    long = "They need love. " * 40 + "It is so."
+    assert one(spark, tokens.tidy(F.col("t")), t="one\ntwo. " + long) == long
+    spark.createDataFrame([(1, long, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.shown for r in tokens.QUERIES["txt_tidy"](spark, str(tmp_path)).collect()] == [long]
+    assert one(spark, tokens.tidy(F.col("t")), t="and so they went on") == "… and so they went on …"
+
+
 def test_append_keeps_the_old(spark):
     old = spark.createDataFrame([("a", 1)], "href string, v int")
     new = spark.createDataFrame([("a", 2), ("b", 3), ("b", 3)], "href string, v int")

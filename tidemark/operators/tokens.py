@@ -85,9 +85,16 @@ def unstutter(text: Column) -> Column:
 
 
 def tidy(text: Column) -> Column:
-    """Whole sentences inside a cut-out passage, if there are any."""
-    inner = F.regexp_extract(text, r"[.!?] ([A-Z].*[.!?])", 1)
-    return F.when(inner != "", inner).otherwise(text)
+    """The whole sentences of a passage where they are most of it; open ends are marked with …."""
+    lead = F.regexp_extract(text, r"(?s)^(.*?[.!?]”?\s+)(?=[A-Z“])", 1)
+    cut = text.rlike(r"^\p{Ll}") & (lead != "") & (F.length(lead) <= 0.45 * F.length(text))
+    begun = F.when(cut, F.substring(text, F.length(lead) + 1, F.length(text))).otherwise(text)
+    whole = F.regexp_extract(begun, r"(?s)^(.*[.!?])", 1)
+    quoted = F.regexp_extract(begun, r"(?s)^(.*)”", 1)
+    ended = F.when((whole != "") & (F.length(whole) >= 0.5 * F.length(begun)), whole).when(
+        F.substring(begun, -20, 20).contains("”"), F.regexp_replace(quoted, "[ ,]+$", "")
+    ).otherwise(begun)
+    return F.concat(F.when(ended.rlike(r"^\p{Ll}"), "… ").otherwise(""), ended, F.when(ended.rlike(r"[.!?]\z"), "").otherwise(" …"))
 
 
 def _canon_words(s: SparkSession, d: str) -> DataFrame:
@@ -119,7 +126,7 @@ QUERIES = {
     "txt_stopwords": lambda s, d: I.vocabulary(s, d).where(F.col("word").isin(STOPWORDS)).select("word", "total"),
     "txt_ordname": lambda s, d: s.range(-60, 120).select(F.col("id").cast("int").alias("ord"), T.period_name(F.col("id")).alias("name")),
     "txt_unstutter": lambda s, d: C.talks(s, d).select("talk_id", unstutter(F.lower("title")).alias("shown")),
-    "txt_tidy": lambda s, d: C.talks(s, d).select("talk_id", tidy(F.substring("text", 1, 400)).alias("shown")),
+    "txt_tidy": lambda s, d: C.talks(s, d).select("talk_id", tidy(F.col("text")).alias("shown")),
     "txt_showterm": lambda s, d: I.vocabulary(s, d).select("word", F.when((F.col("cap_mid") >= 2) & (F.col("cap_mid") >= 9 * F.col("lower_mid")), F.initcap("word")).otherwise(F.col("word")).alias("shown")),
 }
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import ingest, report, reuse, signals, tokens
+from tidemark.operators import ingest, report, reuse, signals, tokens, vectors
 
 
 def one(spark, column, **values):
@@ -78,6 +78,36 @@ def test_display_helpers(spark):
     assert one(spark, report.change_words(F.col("a"), F.col("b")), a=2.0, b=1.0) == "about double the usual amount"
 
 
+def test_tidy_reads_the_whole_text(spark, tmp_path):
+    long = "They need love. " * 40 + "It is so."
+    assert one(spark, tokens.tidy(F.col("t")), t="one\ntwo. " + long) == long
+    spark.createDataFrame([(1, long, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.shown for r in tokens.QUERIES["txt_tidy"](spark, str(tmp_path)).collect()] == [long]
+    assert one(spark, tokens.tidy(F.col("t")), t="and so they went on") == "… and so they went on …"
+
+
+def test_density_covers_all_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([c + 0.25 * rng.normal(size=(25, 6)) for c in 3 * np.eye(6)[:3]] + [rng.normal(size=(15, 6))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = 1 - unit @ unit.T <= 0.1
+    core, root = near.sum(1) >= 5, np.full(len(x), -1)
+    for i in np.flatnonzero(core):
+        todo = [i] if root[i] < 0 else []
+        while todo:
+            j = todo.pop()
+            root[j] = i
+            todo += np.flatnonzero(near[j] & core & (root < 0)).tolist()
+    for i in np.flatnonzero(~core):
+        root[i] = min((root[j] for j in np.flatnonzero(near[i] & core)), default=-1)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    for block in (1000, 13):
+        assert {r.vec_id: r.cluster for r in vectors.chained(rows, 0.1, 5, block).collect()} == dict(enumerate(root.tolist()))
+    assert len(set(root.tolist())) > 3
+
+
 def test_boards_collapse_by_users(spark):
     rows = [(1, 0, 0, 9, 3, 3, [10, 11, 12], "a"), (1, 5, 0, 9, 3, 3, [10, 11, 13], "b"), (1, 9, 0, 9, 2, 2, [20, 21], "c"), (2, 0, 0, 9, 4, 2, [30, 31, 32, 33], "d")]
     df = spark.createDataFrame(rows, "talk_id long, pos int, first int, words int, talks int, speakers int, users array<long>, text string")
@@ -96,14 +126,6 @@ def test_recent_board_is_cut_by_origin_first(spark, monkeypatch):
     assert reuse.leaderboard(spark, "", None).count() == 401
 
 
-def test_tidy_reads_the_whole_text(spark, tmp_path):
-    long = "They need love. " * 40 + "It is so."
-    assert one(spark, tokens.tidy(F.col("t")), t="one\ntwo. " + long) == long
-    spark.createDataFrame([(1, long, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    assert [r.shown for r in tokens.QUERIES["txt_tidy"](spark, str(tmp_path)).collect()] == [long]
-    assert one(spark, tokens.tidy(F.col("t")), t="and so they went on") == "… and so they went on …"
-
-
 def test_append_keeps_the_old(spark):
     old = spark.createDataFrame([("a", 1)], "href string, v int")
     new = spark.createDataFrame([("a", 2), ("b", 3), ("b", 3)], "href string, v int")

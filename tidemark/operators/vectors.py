@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import STOPWORDS, sql_list
-from ..plans.store import kept
+from ..llm.ngram_join import components
+from ..plans.store import kept, written
 from ..sources import corpus as C
 from . import index as I
 
@@ -179,27 +180,79 @@ def missing(passage: DataFrame, cache: DataFrame) -> DataFrame:
     return passage.select("sha").distinct().join(cache.select("sha"), "sha", "left_anti")
 
 
-def density(spark: SparkSession, sf_dir: str, eps: float = 0.5, least: int = 5, label: int = 0) -> DataFrame:
-    """vec_id, cluster of one topic's vectors: dense points within ``eps`` of each other (cosine distance) are chained.
+def _met(left: DataFrame, right: DataFrame, block: int, meet, schema: str, once: bool = False) -> DataFrame:
+    """``meet(ids, x, roots, ids, x, roots)`` of every block of ``left`` with every block of ``right`` (vec_id, v, root)."""
 
-    Works on one label's vectors at a time, which a grouped kernel holds as a matrix."""
-    def chain(pdf):
-        x = np.stack(pdf["v"].to_list())
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        near = 1 - x @ x.T <= eps
-        core = near.sum(1) >= least
-        root = np.full(len(x), -1)
-        for i in np.flatnonzero(core):
-            if root[i] < 0:
-                todo, root[i] = [i], i
-                while todo:
-                    j = todo.pop()
-                    reach = np.flatnonzero(near[j] & (root < 0))
-                    root[reach] = i
-                    todo += reach[core[reach]].tolist()
-        return pdf[["vec_id", "label"]].assign(cluster=root)
-
-    return vectors(spark, sf_dir).where(F.col("label") == label).groupBy("label").applyInPandas(chain, "vec_id long, label int, cluster int")
+    def packed(rows: DataFrame, side: str) -> DataFrame:
+        def fold(pdf):
+            x = np.stack(pdf["v"].to_list())
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            return pd.DataFrame({f"b_{side}": [pdf["part"][0]], f"i_{side}": [pdf["vec_id"].to_numpy(np.int64).tobytes()], f"x_{side}": [x.tobytes()], f"r_{side}": [pdf["root"].to_numpy(np.int64).tobytes()]})
+
+        import pandas as pd
+
+        blocks = max(1, -(-rows.count() // block))
+        return rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("part").applyInPandas(fold, f"b_{side} long, i_{side} binary, x_{side} binary, r_{side} binary")
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                ids = [np.frombuffer(b, np.int64) for b in (r.i_l, r.i_r, r.r_l, r.r_r)]
+                x = [np.frombuffer(b, np.float64).reshape(len(i), -1) for b, i in ((r.x_l, ids[0]), (r.x_r, ids[1]))]
+                yield meet(ids[0], x[0], ids[1], x[1], ids[3])
+
+    pairs = written(packed(left, "l"), "blocks_l").crossJoin(written(packed(right, "r"), "blocks_r"))
+    return (pairs.where("b_l <= b_r") if once else pairs).mapInPandas(run, schema)
+
+
+def chained(rows: DataFrame, eps: float = 0.5, least: int = 5, block: int = 1024) -> DataFrame:
+    """vec_id, cluster of ``rows`` (vec_id, v): density clusters, named by their smallest dense id; -1 is noise.
+
+    Blocks meet pair by pair. A pair of blocks gives counts of neighbours, then the links of a spanning forest of its
+    dense points, not all links; a border point goes to the smallest cluster within ``eps``."""
+    import pandas as pd
+
+    rows = written(rows.where("vec_id IS NOT NULL AND v IS NOT NULL").select("vec_id", "v", F.col("vec_id").alias("root")), "density_rows")
+
+    def counts(i, x, j, y, _):
+        return pd.DataFrame({"vec_id": i, "n": (1 - x @ y.T <= eps).sum(1)})
+
+    near = _met(rows, rows, block, counts, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
+    marked = written(rows.join(near, "vec_id"), "density_near")
+    core = marked.where(F.col("n") >= least).select("vec_id", "v", "root")
+
+    def forest(i, x, j, y, _):
+        close, links = 1 - x @ y.T <= eps, []
+        sides, ids, new = (close, close.T), (i, j), [np.ones(len(i), bool), np.ones(len(j), bool)]
+        for k in range(len(i)):
+            todo = [(0, k)] if new[0][k] else []
+            new[0][k] = False
+            while todo:
+                side, at = todo.pop()
+                reach = np.flatnonzero(sides[side][at] & new[1 - side])
+                new[1 - side][reach] = False
+                links += [(int(ids[side][at]), int(ids[1 - side][m])) for m in reach]
+                todo += [(1 - side, m) for m in reach.tolist()]
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    links = written(_met(core, core, block, forest, "a long, b long", True).where("a <> b"), "density_links")
+    to = components(links, "density").select(F.col("node").alias("vec_id"), F.col("root").alias("to"))
+    core = written(core.join(to, "vec_id", "left").select("vec_id", "v", F.coalesce("to", "vec_id").alias("root")), "density_core")
+
+    def border(i, x, j, y, roots):
+        found = np.where(1 - x @ y.T <= eps, roots[None, :], np.iinfo(np.int64).max).min(1)
+        hit = found < np.iinfo(np.int64).max
+        return pd.DataFrame({"vec_id": i[hit], "root": found[hit]})
+
+    edge = _met(marked.where(F.col("n") < least).select("vec_id", "v", "root"), core, block, border, "vec_id long, root long").groupBy("vec_id").agg(F.min("root").alias("root"))
+    every = core.select("vec_id", "root").unionByName(edge)
+    return rows.select("vec_id").join(every, "vec_id", "left").select("vec_id", F.coalesce("root", F.lit(-1)).cast("long").alias("cluster"))
+
+
+def density(spark: SparkSession, sf_dir: str, eps: float = 0.5, least: int = 5) -> DataFrame:
+    """vec_id, label, cluster of all vectors: dense points within ``eps`` of each other (cosine distance) are chained."""
+    rows = vectors(spark, sf_dir)
+    return rows.select("vec_id", "label").join(chained(rows, eps, least), "vec_id")
 
 
 def new_topics(spark: SparkSession, sf_dir: str, c: int = C.BUCKETS, cut: float = 0.35, least: int = 3) -> DataFrame:

@@ -3,7 +3,7 @@
 A dimension is a term: a query's weight on it times a shard's largest (or, for a negative weight, smallest) entry
 bounds what the term can add. Terms are ordered by what they can still change; the essential ones are traversed for
 all rows of a shard, and the others are probed block by block only for the pairs whose score so far plus the remaining
-bounds still reaches the query's threshold. Thresholds start from a first shard's k-th scores and rise within a shard.
+bounds still reaches the query's threshold. Thresholds are a first shard's k-th scores and stay as they are; a single shard has none.
 
 Vectors that are null, empty or hold a null or non-finite component take no part; vectors of another length than the
 query have no score with it. Repeated ids are candidates each, other than for a query of the same id. An empty table

@@ -137,3 +137,18 @@ def test_pages():
 
     p = parse("<html lang=en><head><title>A</title><script>var t='</p>';</script></head><body><h1>Head</h1><p><b>one<br>two<p>three <sup>1</sup>four</body>")
     assert (p.title, p.lang, p.headings, p.paragraphs) == ("A", "en", ["Head"], ["one two", "three four"])
+
+
+def test_note_markers_are_no_text():
+    from tidemark.sources.pages import parse
+
+    p = parse('<p>say<a class="note-ref" href="#n1">1</a> so, <a class="x" href="/y">and</a> on<sup>2</sup></p>')
+    assert p.paragraphs == ["say so, and on"] and p.links == ["#n1", "/y"]
+
+
+def test_components(spark):
+    from tidemark.plans.graph import components
+
+    links = spark.createDataFrame([(5, 4), (4, 9), (2, 7), *[(100, 100 + k) for k in range(1, 300)]], "a long, b long")
+    found = {r.node: r.root for r in components(links, "links").collect()}
+    assert [found[n] for n in (4, 5, 9, 2, 7, 250)] == [4, 4, 4, 2, 2, 100]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import STOPWORDS, sql_list
-from ..llm.ngram_join import components
+from ..plans.graph import components
 from ..plans.store import kept, written
 from ..sources import corpus as C
 from . import index as I

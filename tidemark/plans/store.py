@@ -12,8 +12,12 @@ _KEPT: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where everything is one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: a folder that driver and executors share is needed")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found

@@ -17,7 +17,7 @@ class Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.title, self.lang, self.links, self.paragraphs, self.headings = "", "", [], [], []
-        self._skip, self._open, self._text = 0, "", []
+        self._skip, self._note, self._open, self._text = 0, False, "", []
 
     def handle_starttag(self, tag, attrs):
         found = dict(attrs)
@@ -25,8 +25,11 @@ class Page(HTMLParser):
             self.lang = found.get("lang") or ""
         if tag == "a" and found.get("href"):
             self.links.append(found["href"])
-        if tag in _SKIP or (tag == "a" and "note-ref" in (found.get("class") or "")):
-            self._skip += tag in _SKIP
+        if tag in _SKIP:
+            self._skip += 1
+        elif tag == "a":
+            # a marker of a footnote is no text; links don't nest
+            self._note = "note-ref" in (found.get("class") or "").split()
         if tag in {"p", "h1", "h2", "h3", "title", "article", "footer", "div"}:
             self._close()
             self._open = tag
@@ -36,11 +39,13 @@ class Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag in _SKIP and self._skip:
             self._skip -= 1
+        elif tag == "a":
+            self._note = False
         if tag in {"p", "h1", "h2", "h3", "title", "article", "footer", "div", "body"}:
             self._close()
 
     def handle_data(self, data):
-        if not self._skip and self._open:
+        if self._open and not self._skip and not self._note:
             self._text.append(data)
 
     def _close(self):

@@ -383,3 +383,36 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_join", "pii", "source_mix", "packing"]
     out = corpus_pipeline.run(spark, SMALL)
     assert out.count() > 100 and {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns)
+
+
+def test_keep_one_judges_rows_not_ids(spark):
+    """Ids that repeat with different texts, null ids, and extra columns with the names used inside."""
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "ABCDE"}
+    near = text["A"].rsplit(" ", 1)[0] + " other"
+    data = [(1, "A"), (5, "A"), (5, "B"), (7, "B"), (9, "C"), (9, "D"), (9, "D"), (None, "A"), (None, "E"), (None, "E")]
+    made = [(i, text[k], f"x{n}", n) for n, (i, k) in enumerate(data)] + [(3, near, "n", 20), (4, None, "z", 21), (4, None, "z", 21), (None, " ", "z", 22)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, gone_id string, `row` int").withColumn("one_of", F.col("doc_id"))
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    found = sorted(((r.doc_id, (r.text or "").split(" ")[0][:1]) for r in kept.collect()), key=repr)
+    assert found == sorted([(1, "A"), (5, "B"), (9, "C"), (9, "D"), (None, "E"), (4, ""), (4, ""), (None, "")], key=repr)
+    assert kept.where("one_of IS DISTINCT FROM doc_id").count() == 0
+    by = {(r.doc_id, r.class_id): r.component_id for r in ngram_join.near_duplicates(docs).collect()}
+    assert {c for (i, _), c in by.items() if i in (1, 3)} == {1}
+
+
+def test_combined_entries_keep_every_survivor():
+    """What a slice counts at once, and entries of several slices, give at least the true counts of shared shingles."""
+    rng = np.random.default_rng(3)
+    sets = {k: np.unique(rng.integers(0, 400, 60).astype(np.uint64) << np.uint64(50)) for k in range(1, 40)}
+    holders = {}
+    for k, s in sets.items():
+        for h in s.tolist():
+            holders.setdefault(h, set()).add(k)
+    batches = [ngram_join._fragments([(k, sets[k]) for k in part], 3, True) for part in (range(1, 12), range(12, 25), range(25, 40))]
+    table, got = pa.Table.from_batches(batches), {}
+    for fragment in set(table.column("fragment").to_pylist()):
+        group = table.filter(pa.compute.equal(table.column("fragment"), fragment))
+        for r in ngram_join._count_shared(group).to_pylist():
+            got[r["class_id"]] = got.get(r["class_id"], 0) + r["shared"]
+    assert {k: got.get(k, 0) for k in sets} == {k: sum(len(holders[h]) > 1 for h in s.tolist()) for k, s in sets.items()}

@@ -5,14 +5,15 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans.store import written
 
 U64 = np.uint64
 NULL_ID = -(2**63)
@@ -22,22 +23,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's spark.checkpoint.dir, or a temporary one in local tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
+
+
+def whole_or_pieces(text: str, most: int, pieces: int = 20) -> Column:
+    """The column ``text``; one of over ``most`` characters is ``pieces`` parts, evenly spread over all of it, joined by line
+    breaks: what a model is fitted on stays bounded, and long texts are learned from."""
+    own, size = F.col(text), F.length(text)
+    part = most // pieces
+    begin = [(F.floor((size - part) * k / (pieces - 1)) + 1).cast("int") for k in range(pieces)]
+    return F.when(size > most, F.concat_ws("\n", *[F.substring(own, b, F.lit(part)) for b in begin])).otherwise(own)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column in ``taken`` is called so."""
+    used = {t.lower() for t in taken}
+    while name in used:
+        name += "_"
+    return name
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

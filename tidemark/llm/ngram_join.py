@@ -5,19 +5,24 @@ A document's set is its distinct 5-word shingles (64-bit hashes). Two sets link
 1. Equal sets are one class, known by a digest of the set; everything after works on classes.
 2. The shingle order is cut into fragments by hash range. Each fragment counts, per class, its shingles that another
    class has too; the partial counts are summed per class. A class that shares less than 75 % of its shingles with all
-   others together can't link with any, so only the rest, the survivors, go on.
+   others together can't link with any, so only the rest, the survivors, go on. A shingle that several classes of one
+   slice of texts have is counted there at once and goes on as a single entry, however many have it. (A class that
+   stands in several slices may be counted more than once; that lets a few more survive and drops none.)
 3. Among survivors the order is by frequency, rarest first; a link must share a shingle of either side's prefix (the
    first n - ceil(0.75 n) + 1 in that order). Classes that share a prefix shingle are candidates.
-4. Candidates are verified fragment by fragment: every fragment counts the pair's partial overlap over its own
-   shingles, and the partial overlaps are summed per pair.
+4. Candidates are verified fragment by fragment: a pair goes to the fragments that its second class has shingles in,
+   each counts the pair's partial overlap over its own shingles, and the partial overlaps are summed per pair.
 5. Groups aren't expanded into all pairs. In a few rounds every bucket has a leader (its smallest doc_id, which is often
    the original; later the first in a hash order), every class is compared with the leader that leads most of its
-   buckets, and linked groups are merged: large groups of near copies fall together. Then the pairs of a bucket that aren't in one group yet are candidates, if the places of the shared shingle in both orders
-   leave room for the overlap that a link needs, and all of those are verified: no link between groups is missed.
+   buckets, and linked groups are merged: large groups of near copies fall together. Then the pairs of a bucket that
+   aren't in one group yet are candidates, if the places of the shared shingle in both orders leave room for the overlap
+   that a link needs, and all of those are verified: no link between groups is missed.
 
 Exact up to collisions of 64-bit hashes. Words are lower-cased in A-Z only. A null, empty or blank text has an empty
-set and is alone in its group. Rows that repeat are copies. Null ids take part in counts, with no id of their own to
-name a group by. An empty table gives no rows. Extra columns are ignored.
+set and is alone in its group. Rows that repeat are copies; a row is known by its id and a hash of its text, so rows of
+one id with different texts are judged each for itself. Null ids link like others but have no id to name a group by: a
+group of null ids alone has a null component_id. Very long texts are shingled whole, one at a time. An empty table gives
+no rows. Extra columns are ignored by ``near_duplicates`` and kept, whatever their names, by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -29,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, id_column, int_ids, release, shingle_sets, slices, small_batches
+from ..plans.graph import components
+from .common import durable, fresh, id_column, int_ids, release, shingle_sets, slices, small_batches
 
 WIDTH = 5
 PERCENT = 75
@@ -46,23 +52,32 @@ def _class_key(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_key: what a row is known by, and the text."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+
+
 def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, class_id of every row; class_id is null for an empty set."""
+    """doc_id, text_key, n_shingles, class_id of every row; class_id is null for an empty set."""
 
     def made(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), width)
+                sizes, keys = [len(s) for s in sets], [_class_key(s) if len(s) else None for s in sets]
                 yield pa.record_batch(
-                    [id_column(int_ids(part.column("doc_id"))), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_key(s) if len(s) else None for s in sets], pa.int64())],
-                    ["doc_id", "n_shingles", "class_id"],
+                    [id_column(int_ids(part.column("doc_id"))), part.column("text_key"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())],
+                    ["doc_id", "text_key", "n_shingles", "class_id"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(made, "doc_id long, n_shingles long, class_id long")
+    return _keyed(docs).mapInArrow(made, "doc_id long, text_key long, n_shingles long, class_id long")
+
 
+def _fragments(pairs, count: int, combine: bool = False):
+    """Rows (fragment, keys, sizes, hashes) of (class key, sorted hashes) pairs, packed for one shuffle record each.
 
-def _fragments(pairs, count: int):
-    """Rows (fragment, keys, sizes, hashes) of (class key, sorted hashes) pairs, packed for one shuffle record each."""
+    ``combine``: a hash that two classes or more have here is one entry of the owner ``MANY``; how many such hashes each
+    class has goes into one more row of keys and sizes without hashes, to a fragment number below 0."""
     found = {}
     for key, shingles in pairs:
         found.setdefault(key, shingles)
@@ -72,6 +87,20 @@ def _fragments(pairs, count: int):
     sets = list(found.values())
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     flat, owner = np.concatenate(sets), np.repeat(keys, sizes)
+    told = None
+    if combine:
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        begin = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        size = np.diff(np.append(begin, len(flat)))
+        many = np.repeat(size > 1, size)
+        told = np.unique(owner[many], return_counts=True)
+        owner = np.where(many, MANY, owner)
+        one = np.zeros(len(flat), bool)
+        one[begin] = True
+        flat, owner = flat[one | ~many], owner[one | ~many]
+        order = np.argsort(owner, kind="stable")
+        flat, owner = flat[order], owner[order]
     fragment = (flat >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
     order = np.argsort(fragment.astype(np.uint16) if count <= 65536 else fragment, kind="stable")
     fragment, flat, owner = fragment[order], flat[order], owner[order]
@@ -84,9 +113,14 @@ def _fragments(pairs, count: int):
         rows[1].append(own[runs].tobytes())
         rows[2].append(np.diff(np.append(runs, b - a)).astype(np.int32).tobytes())
         rows[3].append(flat[a:b].tobytes())
+    if told is not None and len(told[0]):
+        for column, value in zip(rows, (-1 - int(told[0][0]) % count, told[0].tobytes(), told[1].astype(np.int32).tobytes(), b""), strict=True):
+            column.append(value)
     return pa.record_batch([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["fragment", "keys", "sizes", "hashes"])
 
 
+#: The owner of an entry that stands for several classes.
+MANY = -(2**63)
 _PACKED = "fragment int, keys binary, sizes binary, hashes binary"
 
 
@@ -115,8 +149,13 @@ def _shared(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _count_shared(group: pa.Table) -> pa.Table:
-    owner, _, _ = _shared(*_unpacked(group))
-    keys, counts = np.unique(owner, return_counts=True)
+    if group.column("fragment")[0].as_py() < 0:
+        owner, counts = (np.concatenate([np.frombuffer(x, kind) for x in group.column(c).to_pylist()]) for c, kind in (("keys", np.int64), ("sizes", np.int32)))
+        keys, place = np.unique(owner, return_inverse=True)
+        counts = np.bincount(place, counts, len(keys))
+    else:
+        owner, _, _ = _shared(*_unpacked(group))
+        keys, counts = np.unique(owner[owner != MANY], return_counts=True)
     del owner
     release()
     return pa.table({"class_id": keys, "shared": counts.astype(np.int64)})
@@ -128,19 +167,22 @@ def survivors(docs: DataFrame, known: DataFrame, fragments: int, width: int = WI
     def packed(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = _fragments(((_class_key(s), s) for s in shingle_sets(part.column("text"), width) if len(s)), fragments)
+                rows = _fragments(((_class_key(s), s) for s in shingle_sets(part.column("text"), width) if len(s)), fragments, True)
                 if rows is not None:
                     yield rows
 
     shared = docs.select("text").mapInArrow(packed, _PACKED).groupBy("fragment").applyInArrow(_count_shared, "class_id long, shared long").groupBy("class_id").agg(F.sum("shared").alias("shared"))
-    sizes = known.where("class_id IS NOT NULL").groupBy("class_id").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"))
-    return sizes.join(shared, "class_id").where(F.col("shared") * 100 >= F.col("n") * percent).select("class_id", "n", "rep")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key"))
+    sizes = known.where("class_id IS NOT NULL").groupBy("class_id").agg(F.max("n_shingles").alias("n"), first.alias("r"))
+    enough = sizes.join(shared, "class_id").where(F.col("shared") * 100 >= F.col("n") * percent)
+    return enough.select("class_id", "n", F.col("r.doc_id").alias("rep"), F.col("r.text_key").alias("rep_text"))
 
 
 def _sets_of(docs: DataFrame, alive: DataFrame, sent: bool, fragments: int, width: int) -> DataFrame:
     """Packed fragments of the survivors' shingles: texts are filtered to the classes' representatives first."""
-    wanted = alive.select(F.col("rep").alias("doc_id")).distinct()
-    own = docs.select("doc_id", "text").join(F.broadcast(wanted) if sent else wanted, "doc_id", "left_semi")
+    wanted = alive.select("rep", "rep_text").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("rep_text"))
+    own = _keyed(docs).join(F.broadcast(wanted) if sent else wanted, same, "left_semi")
 
     def packed(batches):
         for batch in batches:
@@ -149,7 +191,19 @@ def _sets_of(docs: DataFrame, alive: DataFrame, sent: bool, fragments: int, widt
                 if rows is not None:
                     yield rows
 
-    return own.mapInArrow(packed, _PACKED)
+    return own.select("text").mapInArrow(packed, _PACKED)
+
+
+def _homes(sets: DataFrame) -> DataFrame:
+    """b, fragments: the fragments that each class has shingles in."""
+
+    def listed(batches):
+        for batch in batches:
+            for fragment, keys in zip(batch.column("fragment").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+                own = np.frombuffer(keys, np.int64)
+                yield pa.record_batch([pa.array(own), pa.array(np.full(len(own), fragment, np.int32))], ["b", "fragment"])
+
+    return sets.select("fragment", "keys").mapInArrow(listed, "b long, fragment int").groupBy("b").agg(F.collect_set("fragment").alias("fragments"))
 
 
 def _postings(sets: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
@@ -184,8 +238,8 @@ def _postings(sets: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
     return entries.groupBy("class_id").agg(F.collect_list("entries").alias("lists")).join(alive.select("class_id", "n"), "class_id").mapInArrow(prefix, "hash long, class_id long, n long, place long")
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame, fragments: int) -> DataFrame:
-    """a, b, overlap of each pair: partial overlaps by fragment, summed."""
+def _overlaps(pairs: DataFrame, sets: DataFrame, homes: DataFrame) -> DataFrame:
+    """a, b, overlap of each pair: partial overlaps by fragment, summed. A pair is sent to the fragments of its class b."""
 
     def partial(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "overlap": pa.array([], pa.int64())})
@@ -217,34 +271,15 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, fragments: int) -> DataFrame:
         release()
         return pa.table({"a": a[some], "b": b[some], "overlap": counts[some]})
 
-    spread = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment"))
+    spread = pairs.select("a", "b").join(homes, "b").select("a", "b", F.explode("fragments").alias("fragment"))
     found = spread.groupBy("fragment").cogroup(sets.groupBy("fragment")).applyInArrow(partial, "a long, b long, overlap long")
     return found.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
-    """node, root (smallest node that its links reach) for the ends of ``edges`` (a, b).
-
-    Every round each node takes the smallest label among itself and its neighbours, then the label's own label.
-    """
-    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}_edges")
-    labels = durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")), f"{name}_0")
-    step = 0
-    while True:
-        step += 1
-        near = both.join(labels.select(F.col("a").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        lower = labels.join(near, "a").select("a", F.least("root", "near").alias("to"), F.col("root").alias("was"))
-        jump = labels.select(F.col("a").alias("to"), F.col("root").alias("far"))
-        moved = durable(lower.join(jump, "to", "left").select("a", F.least("to", F.coalesce("far", "to")).alias("root"), "was"), f"{name}_{step}")
-        labels = moved.select("a", "root")
-        if moved.where("root <> was").isEmpty():
-            return labels.withColumnRenamed("a", "node")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, fragments: int, percent: int, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, homes: DataFrame, percent: int, name: str) -> DataFrame:
     """The pairs (a, b, n_a, n_b, any more columns) whose sets reach the threshold."""
     pairs = durable(pairs, f"{name}_pairs")
-    found = pairs.join(_overlaps(pairs, sets, fragments), ["a", "b"])
+    found = pairs.join(_overlaps(pairs, sets, homes), ["a", "b"])
     union = F.col("n_a") + F.col("n_b") - F.col("overlap")
     return durable(found.where(F.col("overlap") * 100 >= union * percent), f"{name}_links")
 
@@ -256,6 +291,7 @@ def _groups(docs: DataFrame, alive: DataFrame, width: int, percent: int) -> Data
         return None
     fragments = max(12, -(-count.s // FRAGMENT))
     sets = durable(_sets_of(docs, alive, count.c <= MOST_SENT, fragments, width), "join_sets")
+    homes = durable(_homes(sets), "join_homes")
     postings = durable(_postings(sets, alive, percent), "join_postings")
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
@@ -267,7 +303,7 @@ def _groups(docs: DataFrame, alive: DataFrame, width: int, percent: int) -> Data
         led = met.groupBy("class_id", "lead").agg(F.count("*").alias("c"), F.first("n_b").alias("n_b"), F.first("root_b").alias("root_b"))
         first = led.groupBy("class_id").agg(F.max(F.struct("c", "lead")).alias("x"), F.first("n_b").alias("n_b"), F.first("root_b").alias("root_b")).withColumn("lead", F.col("x.lead"))
         first = first.select(F.col("lead.class_id").alias("a"), F.col("class_id").alias("b"), F.col("lead.n").alias("n_a"), "n_b", F.col("lead.root").alias("root_a"), "root_b")
-        new = _verified(first, sets, fragments, percent, f"join_step_{step}").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        new = _verified(first, sets, homes, percent, f"join_step_{step}").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
         own = _merged(own, new, f"join_merge_{step}")
 
     mixed = own.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hash")
@@ -279,7 +315,7 @@ def _groups(docs: DataFrame, alive: DataFrame, width: int, percent: int) -> Data
     room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
     once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
     rest = small.join(large, "hash").where((F.col("root_a") != F.col("root_b")) & once & near & room).groupBy("a", "b").agg(*(F.first(c).alias(c) for c in ("n_a", "n_b", "root_a", "root_b")))
-    new = _verified(rest, sets, fragments, percent, "join_rest").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    new = _verified(rest, sets, homes, percent, "join_rest").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     return _merged(own, new, "join_merge_last").select("class_id", "root").distinct()
 
 
@@ -291,8 +327,8 @@ def _merged(own: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return durable(own.join(to, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to").select(own.columns), f"{name}_own")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id of every row."""
+def _decided(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, class_id, root, component of every row; the last two are null for an empty set."""
     small_batches(docs.sparkSession)
     known = durable(classes(docs, width), "join_classes")
     total = known.agg(F.sum("n_shingles").alias("s")).first().s or 0
@@ -301,20 +337,38 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     own = known.groupBy("class_id").agg(F.min("doc_id").alias("least")).where("class_id IS NOT NULL")
     if roots is not None:
         own = own.join(roots, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
-        smallest = own.groupBy("root").agg(F.min("least").alias("component"))
-        own = own.join(smallest, "root").select("class_id", "component")
+        own = own.join(own.groupBy("root").agg(F.min("least").alias("component")), "root").select("class_id", "root", "component")
     else:
-        own = own.select("class_id", F.col("least").alias("component"))
-    return known.join(own, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "class_id")
+        own = own.select("class_id", F.col("class_id").alias("root"), F.col("least").alias("component"))
+    return known.join(own, "class_id", "left")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id of every row."""
+    found = _decided(docs, width, percent)
+    return found.select("doc_id", "n_shingles", F.coalesce("component", F.when(F.col("root").isNull(), F.col("doc_id"))).alias("component_id"), "class_id")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """All columns of one row of each group: the one with the smallest doc_id. Rows without an id stay."""
-    found = durable(near_duplicates(docs, width, percent).select("doc_id", "component_id"), "join_groups")
-    gone = durable(found.where("doc_id <> component_id").select("doc_id").distinct(), "join_gone")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= MOST_SENT else gone, "doc_id", "left_anti").select(docs.columns)
-    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """All columns of one row of each group: the one with the smallest doc_id (null ids last), then text hash.
+
+    Rows with an empty set all stay. Of rows that share id and text the first by a hash of all their columns stays."""
+    found = _decided(docs, width, percent).where("root IS NOT NULL")
+    rows = durable(found.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("copies")), "join_rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("r")
+    stays = durable(rows.groupBy("root").agg(first).select("root", F.col("r.doc_id").alias("doc_id"), F.col("r.text_key").alias("text_key")), "join_stays")
+    id_, key = fresh("gone_id", docs.columns), fresh("gone_key", docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key))
+    named = lambda df: df.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key))
+    match = (rows["root"] == stays["root"]) & rows["doc_id"].eqNullSafe(stays["doc_id"]) & (rows["text_key"] == stays["text_key"])
+    gone = durable(named(rows.join(stays, match, "left_anti")), "join_gone")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= MOST_SENT else gone, same, "left_anti")
+    twice = durable(named(rows.where("copies > 1").join(stays, match, "left_semi")), "join_twice")
     if twice.isEmpty():
         return kept
-    known = kept.withColumn("one_of", F.coalesce(F.col("doc_id").cast("string"), F.uuid()))
-    return known.dropDuplicates(["one_of"]).select(docs.columns)
+    if twice.count() <= MOST_SENT:
+        twice = F.broadcast(twice)
+    plain = [f.name for f in docs.schema if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    whole, order = fresh("row", docs.columns), F.xxhash64(*plain)
+    again = kept.join(twice, same, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min_by(F.struct(*docs.columns), order).alias(whole))
+    return kept.join(twice, same, "left_anti").unionByName(again.select(f"{whole}.*"))

@@ -416,3 +416,93 @@ def test_combined_entries_keep_every_survivor():
         for r in ngram_join._count_shared(group).to_pylist():
             got[r["class_id"]] = got.get(r["class_id"], 0) + r["shared"]
     assert {k: got.get(k, 0) for k in sets} == {k: sum(len(holders[h]) > 1 for h in s.tolist()) for k, s in sets.items()}
+
+
+def test_pii_messages_equal_enumeration():
+    """On forests exactly; with a loop, the strongest labels of well-separated nodes."""
+    rng = np.random.default_rng(11)
+    for edges in ([(0, 1), (1, 2), (1, 3), (4, 5)], [(0, 1), (1, 2), (2, 3), (3, 0), (3, 4)]):
+        for _ in range(5):
+            local, pots = rng.normal(0, 1.5, (6, 3)), rng.normal(0, 0.7, (len(edges), 3, 3))
+            total = np.zeros((6, 3))
+            for labels in np.ndindex(*[3] * 6):
+                w = np.exp(sum(local[n, k] for n, k in enumerate(labels)) + sum(pots[e, labels[a], labels[b]] for e, (a, b) in enumerate(edges)))
+                for n, k in enumerate(labels):
+                    total[n, k] += w
+            exact = total / total.sum(1, keepdims=True)
+            found = pii.sum_product(local, np.array(edges), pots, 500)
+            if len(edges) < 5:
+                assert np.allclose(found, exact, atol=1e-6)
+            else:
+                clear = exact.max(1) > 0.8
+                assert (found.argmax(1) == exact.argmax(1))[clear].all() and np.abs(found - exact).max() < 0.15
+
+
+def _planted_pii(n, seed):
+    """Texts and their hidden spans: personal data that the patterns miss once, and decoys that nobody owns."""
+    rng = np.random.default_rng(seed)
+    digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    word = lambda: "".join(rng.choice(list("abcdeilnorst"), 6))
+
+    def card(ok=True):
+        while True:
+            d = digits(16)
+            if d[0] != "0" and pii.luhn(d) == ok:
+                return d
+
+    texts, hidden = [], []
+    for _ in range(n):
+        parts, own = [word() for _ in range(12)], []
+        kind = rng.integers(0, 6)
+        if kind == 0:  # a card once alone and once glued to another number
+            c = card()
+            parts += [c, *(word() for _ in range(30)), f"{card(False)} {c}"]
+            own = [c]
+        elif kind == 1:  # a phone number, later without its country code, several times
+            a, b, c = digits(3), "555", digits(4)
+            parts += [f"+1 ({a}) {b}-{c}", *(word() for _ in range(30)), *[f"{a} {b} {c}," for _ in range(4)]]
+            own = [f"{a} {b} {c}"] * 4
+        elif kind == 2:  # an address, later spelt out or by its local part
+            name = f"{word()}.{digits(2)}"
+            parts += [f"{name}@mail.example.com", *(word() for _ in range(30)), f"{name} (at) mail [dot] example [dot] com", "and", f"{name},"]
+            own = [f"{name} (at) mail [dot] example [dot] com", name]
+        elif kind == 3:  # decoys
+            d = card(False)
+            parts += [d, "order", digits(9), word(), d, "at", f"{digits(3)}-{digits(3)}"]
+        elif kind == 4:
+            parts += [card(), "+1 (" + digits(3) + ") 555-" + digits(4), f"{word()}@example.org", "10.20.30.40"]
+        parts += [word() for _ in range(10)]
+        texts.append(" ".join(parts))
+        hidden.append(own)
+    return texts, hidden
+
+
+def test_pii_field_finds_what_patterns_miss():
+    train, _ = _planted_pii(300, 1)
+    texts, hidden = _planted_pii(300, 2)
+    base, every = pii.fit(train).spans(texts)
+    added = [sorted(t[a:b] for k, a, b in e if (k, a, b) not in s) for t, e, s in zip(texts, every, base, strict=True)]
+    wanted, given = sum(map(len, hidden)), sum(map(len, added))
+    assert wanted > 200 and given > 0
+    hit = sum(sum(min(a.count(x), h.count(x)) for x in set(h)) for a, h in zip(added, hidden, strict=True))
+    assert hit / wanted > 0.95 and hit / given > 0.95
+    assert all(s <= e for s, e in ((set(s), set(e)) for s, e in zip(base, every, strict=True)))
+
+
+@pytest.mark.parametrize("times", [1, 2, 3, 8])
+def test_pii_repeats_do_not_outvote(times):
+    """Numbers of that shape are mostly nothing; those that repeat a phone number are one all the same."""
+    fits = [f"id {100 + k} 555 01{k % 90 + 10} then" for k in range(200)] + ["+1 (743) 555-3824 and 743 555 3824"]
+    text = "call +1 (743) 555-3824 " + "or 743 555 3824 then " * times + "but 812 555 0199"
+    base, every = pii.fit(fits).spans([text])
+    assert [text[a:b] for k, a, b in every[0] if (k, a, b) not in base[0]] == ["743 555 3824"] * times
+
+
+def test_pii_takes_linear_time():
+    import time
+
+    field = pii.fit(["+1 (743) 555-3824 and 743 555 3824"])
+    for piece in ("a" * 1_000_000 + " (at", "1" * 1_000_000, "1 " * 200_000, "a@" * 200_000, "1234 " * 100_000, "(at)" * 200_000, "1." * 200_000, "x (at) " * 100_000, "1234567890123456 " * 10_000):
+        began = time.time()
+        base, every = field.spans([piece])
+        assert len(every) == 1 and time.time() - began < 20, piece[:20]

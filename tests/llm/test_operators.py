@@ -345,8 +345,8 @@ def test_maxscore(spark):
         s = whole @ whole[i]
         best = sorted((-int(s[j]), j) for j in range(400) if j != i)[:5]
         expected += [(i, k + 1, j, -x) for k, (x, j) in enumerate(best)]
-    for shard, block in ((10_000, 1000), (64, 3)):
-        assert rows(maxscore.top_k(q, q.where("id % 50 = 0"), 5, shard, block)) == sorted(expected, key=repr)
+    for shard, block, part in ((10_000, 1000, 1024), (64, 3, 16)):
+        assert rows(maxscore.top_k(q, q.where("id % 50 = 0"), 5, shard, block, part)) == sorted(expected, key=repr)
     none = q.where("false")
     assert maxscore.top_k(none, none).count() == 0
     few = q.where("id IN (0, 1, 2)")
@@ -506,3 +506,31 @@ def test_pii_takes_linear_time():
         began = time.time()
         base, every = field.spans([piece])
         assert len(every) == 1 and time.time() - began < 20, piece[:20]
+
+
+@pytest.mark.parametrize("scale", [100, 2**24])
+def test_maxscore_prunes_and_is_exact(scale):
+    """Clustered rows: blocks are passed over, non-essential terms are probed for few pairs, and nothing is lost; also
+    where sums leave float64."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(12, 32)) * 3
+    c = np.floor((centres[rng.integers(0, 12, 3000)] + 0.3 * rng.normal(size=(3000, 32))) * scale).astype(np.int64)
+    ids, told = rng.permutation(3000).astype(np.int64), {}
+    qid, q = ids[:40], c[:40]
+    row, found, score = maxscore.score_shard(qid, q, maxscore.Postings(ids, c, 128), np.full(40, maxscore.LOWEST), 5, told)
+    exact = [[sum(int(x) * int(y) for x, y in zip(a, b, strict=True)) for b in c] for a in q] if scale > 100 else (q @ c.T).tolist()
+    for n in range(40):
+        best = sorted((-s, int(i)) for s, i in zip(exact[n], ids, strict=True) if i != qid[n])[:5]
+        assert [(-int(s), int(i)) for s, i in zip(score[row == n], found[row == n], strict=True)] == best
+    assert told["passed"] > 0 and told["essential"] < 0.8 * told["terms"] and told["probed"] < 0.7 * told["traversed"]
+    with pytest.raises(OverflowError):
+        maxscore.score_shard(qid, q << 34, maxscore.Postings(ids, c << 20), np.full(40, maxscore.LOWEST), 5)
+
+
+def test_maxscore_skips_shards(spark):
+    rng = np.random.default_rng(2)
+    rows_ = [(i, [int(x) for x in (rng.normal(size=4) * 10 + (1000 if i < 50 else 0))]) for i in range(600)]
+    v = spark.createDataFrame(rows_, "id long, v array<long>").withColumn("floor", F.lit(0).cast("long"))
+    shards = maxscore._packed(v.withColumn("shard", (F.col("id") >= 50).cast("long")), "shard")
+    asked = maxscore._packed(v.where("id < 10").withColumn("floor", F.lit(3_000_000).cast("long")).withColumn("block", F.lit(0).cast("long")), "block")
+    assert rows(maxscore._needed(shards, asked)) == [(4, 0, 0)]

@@ -255,11 +255,39 @@ def test_codes_read_any_token():
     rng.shuffle(ids)
     f = token_codes.CodeFile(token_codes.encode_file(np.arange(2), np.array([0, 1000, 3500]), ids))
     places = rng.integers(0, 3500, 60)
-    assert (f.tokens(places) == ids[places]).all() and (f.all_tokens() == ids).all() and (f.document(1) == ids[1000:]).all()
+    assert (f.tokens(places) == ids[places]).all() and (f.run(0, 3500) == ids).all() and (f.document(1) == ids[1000:]).all()
+    for a, b in rng.integers(0, 3501, (40, 2)):
+        assert (f.run(min(a, b), max(a, b)) == ids[min(a, b) : max(a, b)]).all()
     with pytest.raises(ValueError, match="token-code"):
         token_codes.CodeFile(b"none")
 
 
+def test_codes_read_without_other_blocks():
+    """Everything of the first level but the document's own bytes and its blocks of the bitmap may be destroyed."""
+    ids = np.random.default_rng(1).integers(0, 60_000, 40_000).astype(np.uint32)
+    at = np.arange(0, 40_001, 100)
+    image = bytearray(token_codes.encode_file(np.arange(400), at, ids))
+    codes = 20 + 8 * 400 + 8 * 401 + 8
+    first, last = 100 * 200, 100 * 201
+    low, high = first // token_codes.STEP * token_codes.STEP // 8, -(-last // token_codes.STEP) * token_codes.STEP // 8
+    for begin, end in ((codes, codes + first), (codes + last, codes + 40_000), (codes + 40_000, codes + 40_000 + low), (codes + 40_000 + high, codes + 45_000)):
+        image[begin:end] = b"\xaa" * (end - begin)
+    f = token_codes.CodeFile(bytes(image))
+    assert (f.document(200) == ids[first:last]).all() and (f.tokens(np.array([first + 7, last - 1])) == ids[[first + 7, last - 1]]).all()
+
+
+def test_files_split_hot_ids(spark):
+    """Small files: ids ascend from file to file, one id of very many rows is split, starts are gapless."""
+    data = [(7, f"word {i} again") for i in range(300)] + [(None, f"none {i}") for i in range(40)] + [(i, "x " * (i % 9)) for i in range(20)] + [(8, "long " * 5000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    files = token_codes.write_files(docs, vocabulary("word_bpe_49k.json"), 2, False, 16, 2000).collect()
+    seen = [x for f in sorted(files, key=lambda f: (f.part, f.seq)) for x in token_codes.CodeFile(bytes(f.image)).doc_ids.tolist()]
+    assert seen == sorted(seen) and len(seen) == len(data) and max(len(token_codes.CodeFile(bytes(f.image)).doc_ids) for f in files) <= 16
+    found = sorted((r.start, r.n_tokens, r.doc_id) for r in token_codes.token_table(docs, vocabulary("word_bpe_49k.json")).collect())
+    assert [a for a, _, _ in found] == np.cumsum([0, *(n for _, n, _ in found)])[:-1].tolist()
+    assert [i for _, _, i in found if i is not None] == sorted(i for i, _ in data if i is not None)
+
+
 @pytest.mark.parametrize(("name", "blank"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_units_equal_direct_encoding(name, blank):
     from tidemark.llm.units import encoder

@@ -562,3 +562,22 @@ def test_maxscore_skips_shards(spark):
     shards = maxscore._packed(v.withColumn("shard", (F.col("id") >= 50).cast("long")), "shard")
     asked = maxscore._packed(v.where("id < 10").withColumn("floor", F.lit(3_000_000).cast("long")).withColumn("block", F.lit(0).cast("long")), "block")
     assert rows(maxscore._needed(shards, asked)) == [(4, 0, 0)]
+
+
+def test_media_is_what_is_stored(spark):
+    """Null and repeated ids, copies, shared and repeated chunks: the stored form is the recipe and the chunks it names."""
+    import zstandard
+
+    rng = np.random.default_rng(5)
+    body = "".join(chr(97 + int(x)) for x in rng.integers(0, 26, 30_000))
+    data = [(1, body), (None, body), (None, "other " + body), (None, "x"), (2, "y"), (2, body + " end"), (2, "y"), *[(100 + i, body[:9000]) for i in range(150)], (9, "ab" * 40_000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("pid", F.lit(b"clash")).withColumn("is_hot", F.lit(1))
+    found = media_chunks.media_table(docs).collect()
+    squeeze = zstandard.ZstdCompressor(level=media_chunks.LEVEL, write_checksum=False, write_content_size=True).compress
+    expected = []
+    for i, text in data:
+        payload = media_chunks.payloads(pa.array([text]))[0]
+        stored, parts = media_chunks.recipe(payload)
+        media = stored + b"".join(squeeze(p) for p in dict.fromkeys(parts))
+        expected.append((i, hashlib.sha256(payload).hexdigest(), len(media), hashlib.sha256(media).hexdigest()))
+    assert sorted(((r.doc_id, r.payload_sha256, r.media_bytes, r.media_sha256) for r in found), key=repr) == sorted(expected, key=repr)

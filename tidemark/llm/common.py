@@ -45,6 +45,23 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+#: A key with more than one in so many rows is hot: there are fewer hot keys than this.
+HOT = 1000
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, name: str, how: str = "inner") -> DataFrame:
+    """``left`` joined on ``key`` with ``right``, which has one row a key: the hot keys of ``left`` by broadcast (fewer
+    than ``HOT`` rows), so that no task gets all rows of one key; the others by shuffle. ``left`` is read twice."""
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    hot = durable(counts.where(F.col("n") > max(HOT // 10, left.count() // HOT)).select(key), name)
+    flag = fresh("is_hot", left.columns + right.columns)
+    marked = left.join(F.broadcast(hot.withColumn(flag, F.lit(True))), key, "left")
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    parts = (marked.where(F.col(flag)), few), (marked.where(F.col(flag).isNull()), right)
+    one, two = (side.drop(flag).join(other, key, how) for side, other in parts)
+    return one.unionByName(two)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of texts stay small in both processes; a smaller setting of the session's own is kept."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -581,3 +581,31 @@ def test_media_is_what_is_stored(spark):
         media = stored + b"".join(squeeze(p) for p in dict.fromkeys(parts))
         expected.append((i, hashlib.sha256(payload).hexdigest(), len(media), hashlib.sha256(media).hexdigest()))
     assert sorted(((r.doc_id, r.payload_sha256, r.media_bytes, r.media_sha256) for r in found), key=repr) == sorted(expected, key=repr)
+
+
+def test_language_segments_and_blocks(spark, monkeypatch):
+    """Posteriors are the same in one piece and in segments, emissions in one block and in many."""
+    texts = ["the cat and the dog of the house"] * 20 + ["der hund und die katze aus dem haus"] * 20
+    model = langid.fit(texts, ["en"] * 20 + ["de"] * 20)
+    rng = np.random.default_rng(1)
+    words = ["the", "cat", "house", "der", "hund", "katze", "x", "été", "ßü"]
+    column = pa.array([" ".join(rng.choice(words, int(k))) for k in rng.integers(0, 300, 30)] + ["", None, "z" * 50_000 + " the"])
+    whole, first = model.emissions(column)
+    monkeypatch.setattr(langid, "ROOM", 1)
+    blocks, _ = model.emissions(column)
+    assert np.allclose(whole, blocks)
+    restart = np.zeros(len(whole), bool)
+    restart[first[:-1][np.diff(first) > 0]] = True
+    for size in (1, 7, 1000):
+        assert np.allclose(model.posteriors(whole, restart), model.posteriors(whole, restart, size))
+
+
+def test_language_learns_all_languages_once(spark):
+    """Many languages, one id for very many rows, and null ids."""
+    rows_ = [(None if i % 3 else 7, f"{'abcdefghij'[k % 10] * 3}{'klmnopqrst'[k // 10]} word{k} " * 3 + str(i % 5), f"l{k:02d}") for k in range(70) for i in range(12)]
+    model = langid.train(spark.createDataFrame(rows_, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 70
+    names, _ = model.label(pa.array([f"{'abcdefghij'[k % 10] * 3}{'klmnopqrst'[k // 10]} word{k}" for k in range(70)]))
+    assert sum(a == f"l{k:02d}" for k, a in enumerate(names)) > 60
+    held = langid.predict(spark.createDataFrame([(None, "x")], "doc_id long, text string"), model).first().held_out
+    assert held is False

@@ -7,30 +7,34 @@ language with the largest sum. Training maximises the likelihood of word sequenc
 the languages, so the transitions see switches.
 
 Forward-backward runs over all words of a batch at once: the word sequence, with restarts where a document begins, is
-folded into lanes; each lane's transfer matrix links it to the next, which is exact for documents of any length.
+folded into lanes; each lane's transfer matrix links it to the next, which is exact for documents of any length. Very
+long sequences go in segments, each entered with the state that the one before leaves, so memory stays bounded.
 
-The model is fitted on at most ``PER_LANG`` documents of each language, chosen by a hash of doc_id, and on the first
-``LONGEST_FIT`` characters of each. Null text and text without a letter give ``und`` and score 0; with nothing to learn
-from every document is ``und``. Null languages and languages without any word are not learned from. Repeated rows are labelled alike, extra columns are ignored, an empty table gives no rows.
+The model is fitted on at most ``PER_LANG`` documents of every language, chosen by a hash of id and text; texts over
+``LONGEST_FIT`` characters give pieces from all over. All languages are learned, a language costs 1 MB of weights. Null
+text and text without a letter give ``und`` and score 0; with nothing to learn from every document is ``und``. Null
+languages and languages without any word are not learned from. A null id is not held out. Repeated rows are labelled
+alike and learned from once, extra columns are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_LETTERS, id_column, int_ids, slices, small_batches, text_buffer, word_hashes, word_spans
+from .common import NOT_LETTERS, id_column, int_ids, slices, small_batches, text_buffer, whole_or_pieces, word_hashes, word_spans
 
 BITS = 16
 PER_LANG = 400
-#: Languages that are learned: the most frequent ones of the fold, up to so many.
-MOST_LANGS = 64
-#: Characters of a text, from its start, that are learned from.
+#: Characters of a text that are learned from.
 LONGEST_FIT = 100_000
+#: Words of a sequence that are worked on at once; bytes of text at once, divided by the number of languages.
+SEGMENT = 1 << 18
+ROOM = 8 << 20
+#: Languages up to which their counts (about 30 bytes each) are sent to every executor.
+MOST_SENT = 100_000
 STEPS = 160
 SPAN = 64
 _FOLD = np.where(NOT_LETTERS, 0, np.arange(256)).astype(np.uint32)
@@ -56,6 +60,75 @@ def _grams(code: np.ndarray, n: int) -> np.ndarray:
     return ((key ^ np.uint32(n * 0x9E37)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)
 
 
+def _normed(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(-1, keepdims=True)
+
+
+class _Lanes:
+    """A sequence of words folded into lanes of equal length."""
+
+    def __init__(self, score: np.ndarray, restart: np.ndarray, trans: np.ndarray, begin: np.ndarray):
+        self.total, self.n = score.shape
+        self.lanes = max(1, int(self.total**0.5))
+        self.length = -(-self.total // self.lanes)
+        pad = self.lanes * self.length - self.total
+        emit = np.exp(np.maximum(score - score.max(1, keepdims=True), -50))
+        # what pads the last lane says nothing and leaves the state as it is
+        self.emit = np.concatenate([emit, np.ones((pad, self.n))]).reshape(self.lanes, self.length, self.n)
+        self.cut = np.concatenate([restart, np.zeros(pad, bool)]).reshape(self.lanes, self.length)
+        self.idle = np.concatenate([np.zeros(self.total, bool), np.ones(pad, bool)]).reshape(self.lanes, self.length)
+        self.trans, self.begin = trans, begin
+        self.through: list[np.ndarray | None] = [None, None]
+
+    def _forward(self, state: np.ndarray, keep: np.ndarray | None) -> np.ndarray:
+        for t in range(self.length):
+            shape = (-1, *[1] * (state.ndim - 1))
+            moved = np.where(self.cut[:, t].reshape(shape), self.begin, state @ self.trans)
+            state = np.where(self.idle[:, t].reshape(shape), state, moved)
+            state = state * (self.emit[:, t] if state.ndim == 2 else self.emit[:, t, None])
+            state = state / (state.sum((1, 2), keepdims=True) if state.ndim == 3 else state.sum(1, keepdims=True))
+            if keep is not None:
+                keep[:, t] = state
+        return state
+
+    def _backward(self, state: np.ndarray, keep: np.ndarray | None) -> np.ndarray:
+        for t in range(self.length - 1, -1, -1):
+            if keep is not None:
+                keep[:, t] = state
+            shape = (-1, *[1] * (state.ndim - 1))
+            told = state * (self.emit[:, t] if state.ndim == 2 else self.emit[:, t, None])
+            moved = np.where(self.cut[:, t].reshape(shape), (told @ self.begin)[..., None], told @ self.trans.T)
+            state = np.where(self.idle[:, t].reshape(shape), state, moved)
+            state = state / (state.sum((1, 2), keepdims=True) if state.ndim == 3 else state.sum(1, keepdims=True))
+        return state
+
+    def _transfers(self, way: int) -> np.ndarray:
+        if self.through[way] is None:
+            unit = np.broadcast_to(np.eye(self.n), (self.lanes, self.n, self.n))
+            self.through[way] = (self._forward, self._backward)[way](unit, None)
+        return self.through[way]
+
+    def ahead(self, state: np.ndarray) -> np.ndarray:
+        """The state before each lane, and after the last one."""
+        out = [state]
+        for one in self._transfers(0):
+            out.append(_normed(out[-1] @ one))
+        return np.array(out)
+
+    def behind(self, state: np.ndarray) -> np.ndarray:
+        """What comes after says of the state before each lane, and after the last one."""
+        out = [state]
+        for one in self._transfers(1)[::-1]:
+            out.append(_normed(out[-1] @ one))
+        return np.array(out[::-1])
+
+    def posteriors(self, enter: np.ndarray, leave: np.ndarray) -> np.ndarray:
+        alpha, beta = (np.empty((self.lanes, self.length, self.n)) for _ in range(2))
+        self._forward(self.ahead(enter)[:-1], alpha)
+        self._backward(self.behind(leave)[1:], beta)
+        return _normed(alpha * beta).reshape(-1, self.n)[: self.total]
+
+
 class Chain:
     def __init__(self, langs: list[str]):
         n = len(langs)
@@ -66,67 +139,39 @@ class Chain:
 
     def emissions(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         code, starts, ends, first, own = word_features(texts)
-        score = self.lexicon[own].astype(np.float64)
-        for k, n in enumerate((2, 3, 4)):
-            total = np.zeros((len(code) - 2, len(self.langs)))
-            np.cumsum(self.grams[k][_grams(code, n)], axis=0, out=total[1:], dtype=np.float64)
-            # the n-gram at byte i covers bytes i - 1 to i + n - 2: from the first affix to the one over the end
-            score += total[np.maximum(np.minimum(ends + 2 - n + 1, len(total) - 1), starts + 1)] - total[starts]
+        score, size = self.lexicon[own].astype(np.float64), len(code) - 3
+        row, room = 0, max(1 << 14, ROOM // max(len(self.langs), 1))
+        while row < len(starts):
+            stop = max(row + 1, int(np.searchsorted(ends, starts[row] + room, "right")))
+            low = int(starts[row])
+            part = code[low : min(int(ends[stop - 1]) + 2, size) + 3]
+            a, b = starts[row:stop], ends[row:stop]
+            for k, n in enumerate((2, 3, 4)):
+                total = np.zeros((len(part) - 2, len(self.langs)))
+                np.cumsum(self.grams[k][_grams(part, n)], axis=0, out=total[1:], dtype=np.float64)
+                # the n-gram at byte i covers bytes i - 1 to i + n - 2: from the first affix to the one over the end
+                score[row:stop] += total[np.maximum(np.minimum(b + 3 - n, size), a + 1) - low] - total[a - low]
+            row = stop
         return score, first
 
-    def posteriors(self, score: np.ndarray, restart: np.ndarray) -> np.ndarray:
+    def posteriors(self, score: np.ndarray, restart: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
         """Probabilities of each word's language; ``restart`` marks first words of documents."""
         total, n = score.shape
         if not total:
             return score
-        emit = np.exp(np.maximum(score - score.max(1, keepdims=True), -50))
-        lanes = max(1, int(total**0.5))
-        length = -(-total // lanes)
-        pad = lanes * length - total
-        emit = np.concatenate([emit, np.ones((pad, n))]).reshape(lanes, length, n)
-        cut = np.concatenate([restart, np.ones(pad, bool)]).reshape(lanes, length)
         trans, begin = np.exp(self.step - self.step.max()), np.exp(self.start - self.start.max())
         begin = begin / begin.sum()
-        norm = lambda x: x / x.sum(-1, keepdims=True)
-
-        def forward(state: np.ndarray, keep: np.ndarray | None) -> np.ndarray:
-            for t in range(length):
-                state = np.where(cut[:, t].reshape(-1, *[1] * (state.ndim - 1)), begin, state @ trans)
-                state = state * (emit[:, t] if state.ndim == 2 else emit[:, t, None])
-                scale = state.sum((1, 2), keepdims=True) if state.ndim == 3 else state.sum(1, keepdims=True)
-                state = state / scale
-                if keep is not None:
-                    keep[:, t] = state
-            return state
-
-        def backward(state: np.ndarray, keep: np.ndarray | None) -> np.ndarray:
-            for t in range(length - 1, -1, -1):
-                if keep is not None:
-                    keep[:, t] = state
-                state = state * (emit[:, t] if state.ndim == 2 else emit[:, t, None])
-                here = cut[:, t].reshape(-1, *[1] * (state.ndim - 1))
-                state = np.where(here, (state @ begin)[..., None], state @ trans.T)
-                scale = state.sum((1, 2), keepdims=True) if state.ndim == 3 else state.sum(1, keepdims=True)
-                state = state / scale
-            return state
-
-        unit = np.broadcast_to(np.eye(n), (lanes, n, n))
-        over, under = forward(unit, None), backward(unit, None)
-        ahead, behind = np.empty((lanes, n)), np.empty((lanes, n))
-        state = begin
-        for i in range(lanes):
-            ahead[i] = state
-            state = state @ over[i]
-            state = state / state.sum()
-        state = np.ones(n)
-        for i in range(lanes - 1, -1, -1):
-            behind[i] = state
-            state = state @ under[i]
-            state = state / state.sum()
-        alpha, beta = np.empty((lanes, length, n)), np.empty((lanes, length, n))
-        forward(ahead, alpha)
-        backward(behind, beta)
-        return norm(alpha * beta).reshape(-1, n)[:total]
+        cut = [slice(a, min(a + segment, total)) for a in range(0, total, segment)]
+        lanes = lambda at: _Lanes(score[at], restart[at], trans, begin)
+        enter = [begin]
+        for at in cut[:-1]:
+            enter.append(lanes(at).ahead(enter[-1])[-1])
+        out, leave = np.empty_like(score), np.ones(n)
+        for at, state in zip(cut[::-1], enter[::-1], strict=True):
+            own = lanes(at)
+            out[at] = own.posteriors(state, leave)
+            leave = own.behind(leave)[0]
+        return out
 
     def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Posterior of every word, and each row's first word."""
@@ -217,35 +262,35 @@ def remainder(doc_id, parts: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
-def train(docs: DataFrame, fold: int = 2, parts: int = 4, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> Chain:
+def train(docs: DataFrame, fold: int = 2, parts: int = 4, per_lang: int = PER_LANG) -> Chain:
     """Fit on documents outside the fold that hold a word. Counts per language cover all rows; texts come from a hash sample."""
-    begun = F.substring("text", 1, LONGEST_FIT)
-    known = docs.select("doc_id", begun.alias("text"), "lang").where(begun.rlike(r"[A-Za-z\x{80}-\x{10FFFF}]")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(remainder(F.col("doc_id"), parts) != fold, F.lit(True)))
-    counts = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_langs).collect()
-    texts, langs = [], []
-    if counts:
-        chance = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * per_lang / r["count"]))])
-        draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-        kept: dict[str, int] = {}
-        rows = known.where(draw < F.try_element_at(chance, F.col("lang"))).limit(int(3 * per_lang * len(counts))).collect()
-        for r in sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id), r.text)):
-            if kept.get(r.lang, 0) < per_lang:
-                kept[r.lang] = kept.get(r.lang, 0) + 1
-                texts.append(r.text)
-                langs.append(r.lang)
-    return fit(texts, langs)
+    text = whole_or_pieces("text", LONGEST_FIT)
+    learnt = F.coalesce(remainder(F.col("doc_id"), parts) != fold, F.lit(True)) & F.col("lang").isNotNull()
+    key = F.xxhash64(F.lit("langid"), "doc_id", "text")
+    known = docs.where(learnt).select("lang", key.alias("h"), text.alias("text")).where(F.col("text").rlike(r"[A-Za-z\x{80}-\x{10FFFF}]"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    chance = counts.select("lang", F.least(F.lit(1.0), 1.5 * per_lang / F.col("n")).alias("chance"))
+    if chance.count() <= MOST_SENT:
+        chance = F.broadcast(chance)
+    drawn = known.join(chance, "lang").where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < F.col("chance"))
+    # equal rows count once; the draw leaves about 1.5 * per_lang rows a language to be ranked
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    once = drawn.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rows = once.withColumn("k", rank).where(F.col("k") <= per_lang).orderBy("lang", "k").collect()
+    return fit([r.text for r in rows], [r.lang for r in rows])
 
 
 def predict(docs: DataFrame, model: Chain, fold: int = 2, parts: int = 4) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    room = max(1 << 16, ROOM // max(4, len(model.langs)))
 
     def labelled(batches):
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", room):
                 names, share = sent.value.label(part.column("text"))
                 yield pa.record_batch([id_column(int_ids(part.column("doc_id"))), pa.array(names, pa.string()), pa.array(share)], ["doc_id", "lang_pred", "score"])
 
     made = docs.select("doc_id", "text").mapInArrow(labelled, "doc_id long, lang_pred string, score double")
-    return made.select("doc_id", (remainder(F.col("doc_id"), parts) == fold).alias("held_out"), "lang_pred", "score")
+    return made.select("doc_id", F.coalesce(remainder(F.col("doc_id"), parts) == fold, F.lit(False)).alias("held_out"), "lang_pred", "score")

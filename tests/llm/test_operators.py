@@ -609,3 +609,41 @@ def test_language_learns_all_languages_once(spark):
     assert sum(a == f"l{k:02d}" for k, a in enumerate(names)) > 60
     held = langid.predict(spark.createDataFrame([(None, "x")], "doc_id long, text string"), model).first().held_out
     assert held is False
+
+
+def test_toxicity_edges(spark):
+    """Several labels for one id, ids that repeat with other texts, null ids, a very long text, clashing extra columns."""
+    long = "calm words " * 60_000
+    data = [(i, ("vile scum " if i % 3 == 0 else "kind words ") + f"w{i} more text here", 1) for i in range(90)]
+    data += [(3, "other text of id three", 2), (None, "vile scum", 3), (500, long, 4), (501, None, 5)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, toxic int").withColumn("score", F.lit("mine")).withColumn("lang", F.lit(None).cast("string"))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(3, 0), (3, None), (None, 1), (500, 0), (4, 7)], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs, labels).collect()
+    assert len(sample) == len({r.doc_id for r in sample}) and {r.doc_id: r.toxic for r in sample}.get(3, 1) == 1
+    assert max(len(r.text or "") for r in sample) <= toxicity.LONGEST_FIT + 40
+    assert [tuple(r) for r in toxicity.labelled_sample(docs, labels, 5).orderBy("doc_id").collect()] == [tuple(r) for r in toxicity.labelled_sample(docs.repartition(7), labels, 5).orderBy("doc_id").collect()]
+    model = toxicity.train(docs, labels)
+    found = toxicity.score(docs, model).collect()
+    assert len(found) == len(data) and all(r.held_out is not None for r in found)
+    kept = toxicity.keep_clean(docs, model)
+    assert kept.columns == docs.columns and {r.score for r in kept.collect()} == {"mine"}
+    plain = toxicity.Classifier.scores(model, pa.array([t for _, t, _ in data], pa.string()))
+    assert np.allclose(sorted(r.score for r in found), np.sort(plain), atol=1e-5)
+
+
+def test_toxicity_features_equal_brute_force():
+    """Filters applied word by word to the embeddings, the largest over the document, then the output layer."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["vile", "scum", "kind", "word", "tree", "sky"], int(k))) for k in rng.integers(1, 12, 80)]
+    model = toxicity.fit(texts, np.array([int("vile scum" in t) for t in texts]))
+    words, first = toxicity._word_ids(pa.array([*texts, "", "vile"]))
+    found = model.logits(words, first)
+    for row in range(len(texts) + 2):
+        own = model.embed[model.slots[words[first[row] : first[row + 1]] % np.uint64(toxicity.BUCKETS)]]
+        h = np.zeros(len(toxicity.WIDTHS) * toxicity.FILTERS)
+        if len(own):
+            padded = np.concatenate([own, np.repeat(model.embed[:1], max(toxicity.WIDTHS) - 1, 0)])
+            for i, w in enumerate(toxicity.WIDTHS):
+                conv = [sum(padded[t + j] @ model.filters[i][j] for j in range(w)) for t in range(len(own))]
+                h[i * toxicity.FILTERS : (i + 1) * toxicity.FILTERS] = np.maximum(np.max(conv, 0) + model.shift[i], 0)
+        assert abs(found[row] - (h @ model.out + model.bias)) < 1e-3

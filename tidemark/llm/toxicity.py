@@ -8,13 +8,15 @@ table look-ups a word. The logit is shifted by a threshold calibrated per langua
 function words in the text itself; the score is the logistic of what is left, so 0.5 is the calibrated cut.
 
 The model is fitted on at most ``MOST_FIT`` labelled documents of each class, taken in the order of a hash of doc_id
-(texts over ``LONGEST_FIT`` characters are left out there). The thresholds come from all labelled documents outside the
+(texts over ``LONGEST_FIT`` characters give pieces from all over; an id that repeats gives one text). The thresholds come from all labelled documents outside the
 held-out fold: their logits are counted by language, class and bin, and those that were not fitted on stand, class by
 class, for as many as the tables hold. Scoring covers every document and its whole text.
 
 Null texts count as empty; texts without letters have zero features and get the bias' score. Rows with null or unknown
-label are not learned from; with labels of one class only, all scores are the smoothed rate of that class. Repeated
-rows are scored alike, extra columns are ignored, an empty table gives no rows.
+label are not learned from; of several labels for one id the highest counts; with labels of one class only, all scores
+are the smoothed rate of that class. A null id is not held out and has no label. Repeated rows are scored alike, very
+long texts are scored whole, extra columns are ignored by ``score`` and kept by ``keep_clean``, an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_LETTERS, id_column, int_ids, release, slices, small_batches, text_buffer, word_hashes, word_spans
+from .common import NOT_LETTERS, id_column, int_ids, release, slices, small_batches, text_buffer, whole_or_pieces, word_hashes, word_spans
 
 BUCKETS = 1 << 20
 MOST_ROWS = 1 << 13
@@ -35,7 +37,7 @@ SIZE = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 MOST_FIT = 1500
-#: Longest text, in characters, that is learned from.
+#: Characters of a text that are learned from.
 LONGEST_FIT = 100_000
 STEPS = 700
 #: Logits are counted in bins of this width, up to so far from 0.
@@ -103,7 +105,7 @@ class Classifier:
                 conv = tables[0][stream]
                 for k in range(1, len(tables)):
                     conv[:-k] += tables[k][stream[k:]]
-                top = np.maximum.reduceat(conv, cuts[:-1], axis=0)[::2]
+                top = np.maximum.reduceat(conv, cuts, axis=0)[::2]  # padding follows the last document as well
                 out[full, i * FILTERS : (i + 1) * FILTERS] = np.maximum(top + self.shift[i].astype(np.float32), 0)
         return out
 
@@ -309,14 +311,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT, pa
     chosen = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for v in (0, 1)]
     # at most 2 * most rows of two numbers
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))
-    # a repeated id brings all of its rows, so these are bounded as well
-    return docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST_FIT).join(ids, "doc_id").limit(4 * most)
+    found = docs.select("doc_id", whole_or_pieces("text", LONGEST_FIT).alias("text")).join(ids, "doc_id")
+    # of the rows of a repeated id the one whose text's hash is the smallest
+    return found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT, parts: int = 5) -> Classifier:
     rows = labelled_sample(docs, labels, most, parts).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text or ""))
-    rows = rows[: 2 * most]
     classes = np.array([r.toxic for r in rows])
     model = fit([r.text or "" for r in rows], classes)
     # those that fit keeps from fitting are every fifth
@@ -342,7 +344,7 @@ def score(docs: DataFrame, model: Classifier, parts: int = 5) -> DataFrame:
                 yield pa.record_batch([id_column(int_ids(part.column("doc_id"))), pa.array(own.scores(part.column("text")))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double").select(
-        "doc_id", (remainder(F.col("doc_id"), parts) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+        "doc_id", F.coalesce(remainder(F.col("doc_id"), parts) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
 

@@ -3,11 +3,13 @@
 A document's ids (with the end id) of at most ``size`` are one piece; a longer one is cut into pieces of ``size``, the
 first piece taking what is left over. Whole pieces fill a sequence each. Every other piece goes where the sum over all
 residual gaps of (open bins with that gap) squared becomes smallest: only the counts per gap matter, so one placement
-is a vector operation over ``size`` gaps. Pieces are placed from the longest down, in groups by a hash of doc_id, so
-groups run on any number of executors and only a few bins a group stay open.
+is a vector operation over ``size`` gaps. Pieces are placed from the longest down, in groups by a hash of id, place and
+content, so groups run on any number of executors, an id that very many rows share is spread over all of them, and only a
+few bins a group stay open.
 
-Null texts are empty (the end id alone); null ids hash as one value; repeated rows are packed as often as they occur.
-An empty table gives no rows. Extra columns are ignored.
+Null texts are empty (the end id alone); null ids are kept; a very long text is encoded whole and makes many pieces;
+repeated rows are packed as often as they occur, pieces of equal length in the order of id, piece and content. An empty
+table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,7 +97,7 @@ def pack(parts: DataFrame, groups: int, size: int = SIZE) -> DataFrame:
         return keep.append_column("sequence_id", pa.array(bins + (np.int64(number) << 32))).append_column("offset", pa.array(offsets))
 
     kept = parts.select("doc_id", "piece", "start", "length", "ids_crc32")
-    keyed = kept.withColumn("doc_key", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("pack_group", F.pmod(F.xxhash64("doc_key"), F.lit(groups)))
+    keyed = kept.withColumn("doc_key", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("pack_group", F.pmod(F.xxhash64("doc_key", "start", "ids_crc32"), F.lit(groups)))
     return keyed.groupBy("pack_group").applyInArrow(packed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

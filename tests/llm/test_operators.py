@@ -405,12 +405,46 @@ def test_place_is_close_to_the_bound():
 
 
 def test_pipeline(spark):
+    """Every stage of the pipeline against a plain version of it."""
+    from collections import Counter
+
     import corpus_pipeline
+    import duckdb
     from conftest import SMALL
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_join", "pii", "source_mix", "packing"]
-    out = corpus_pipeline.run(spark, SMALL)
-    assert out.count() > 100 and {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    kept, steps = docs, []
+    for _, stage in corpus_pipeline.STAGES:
+        kept = media_chunks.durable(stage(spark, kept, SMALL), "test_stage")
+        steps.append(kept)
+    given = [tuple(r) for r in docs.select(corpus_pipeline.COLUMNS).collect()]
+    model = toxicity.train(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    clean = [r for r in given if model.scores(pa.array([r[1]], pa.string()))[0] < 0.5]
+    assert rows(steps[0]) == sorted(clean, key=repr) and len(clean) < len(given)
+    leaders = {i for i, (_, root) in _components([r[:2] for r in clean]).items() if i == root}
+    single = [r for r in clean if r[0] in leaders]
+    assert rows(steps[1]) == sorted(single, key=repr) and len(single) < len(clean)
+    field, masked = pii.train(steps[1]), []
+    for i, text, lang, source, _ in single:
+        new = pii.masked(text, field.spans([text])[1][0])
+        masked.append((i, new, lang, source, len(new)))
+    assert rows(steps[2]) == sorted(masked, key=repr) and any(a[1] != b[1] for a, b in zip(sorted(masked), sorted(single), strict=True))
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist([dict(zip(corpus_pipeline.COLUMNS, r, strict=True)) for r in masked]))
+    copies = {r[0]: r[5] for r in con.execute(f"SELECT doc_id, size, source_size, target, taken, copies FROM ({source_mix.ORACLE})").fetchall()}
+    assert rows(steps[3]) == sorted([r for r in masked for _ in range(copies[r[0]])], key=repr)
+    encode, expected = _direct("byte_bpe_50k.json"), Counter()
+    for i, text, *_ in masked:
+        ids = encode(text)
+        for k, (s, n) in enumerate(packing.cut(len(ids), 1024)):
+            expected[i, k, s, n, zlib.crc32(ids[s : s + n].tobytes())] += copies[i]
+    assert Counter(tuple(r)[:5] for r in steps[4].collect()) == +expected
+    whole = corpus_pipeline.run(spark, SMALL)
+    assert Counter(tuple(r)[:5] for r in whole.collect()) == +expected
+    fill = whole.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m")).collect()
+    assert all(r.n == r.m <= 1024 for r in fill)
+
 
 
 def test_keep_one_judges_rows_not_ids(spark):

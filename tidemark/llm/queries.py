@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from . import langid, license_scan, maxscore, media_chunks, ngram_join, packing, pii, source_mix, token_codes, toxicity
 from .common import table
 
-#: Folder of the public tokenizers' vocabulary files.
-TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
 
 
 def vocabulary(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    """Path of a public tokenizer's vocabulary file; the variable TIDEMARK_TOKENIZERS names another folder of them."""
+    folder = os.environ.get("TIDEMARK_TOKENIZERS")
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,11 +47,12 @@ def test_period_names(spark, ord_, name):
 
 
 def test_sentences_and_masks(spark):
-    from tidemark.operators.index import clean_segments
+    from tidemark.functions import kernels as K
 
     assert one(spark, T.sentences("t"), t="Mr. Case met J. Doe. He left! No. 3 stays") == [["mr", "case", "met", "j", "doe"], ["he", "left"], ["no", "stays"]]
-    segs = spark.createDataFrame([([["a", "b", "c", "d"]], [1, 2])], "segs array<array<string>>, mask array<int>")
-    assert segs.select(clean_segments(F.col("segs"), F.col("mask")).alias("x")).first()["x"] == [["a"], ["d"]]
+    assert K.clean([["a", "b", "c", "d"]], [1, 2]) == [["a"], ["d"]]
+    assert K.clean([["a"], ["b", "c"]], [0]) == [["b", "c"]] and K.clean([["a"], ["b"]], []) == [["a"], ["b"]]
+    assert K.mask("a b c d e a b c".split(), frozenset({"a b c", "b c d"}), 3) == [0, 1, 2, 3, 5, 6, 7]
 
 
 def test_fragments_and_dedupe(spark):

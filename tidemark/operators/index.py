@@ -2,71 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..functions import text as T
 from ..functions.lexicon import STOPWORDS, sql_list
 from ..plans.store import kept
 from ..sources import corpus as C
 
 LEAST_TALKS = 2
+#: Canon runs (about 150 bytes each) up to which they are sent to every executor; beyond it they are joined.
+MOST_SENT = 400_000
+#: Hashes of terms (8 bytes each) up to which they are sent.
+MOST_TERMS_SENT = 4_000_000
+
+
+def _sent(shingles: DataFrame) -> frozenset[str] | None:
+    """The runs in ``shingles`` if they are few enough to be sent."""
+    found = shingles.limit(MOST_SENT + 1).collect()
+    return frozenset(r["shingle"] for r in found) if len(found) <= MOST_SENT else None
 
 
 def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """talk_id, ord, speaker, grp, pos, segs, norm of every paragraph of an address."""
-    paras = C.paragraphs(C.addresses(spark, sf_dir))
-    segs = T.pinned(paras, "segs", T.sentences("para")).select("talk_id", "ord", "speaker", "grp", "pos", "segs")
-    return T.pinned(segs, "norm", F.flatten("segs"))
+    """talk_id, ord, speaker, grp, pos, norm, segs of every paragraph of an address."""
+    return K.normalised(C.talks(spark, sf_dir), C.ADDRESS_WORDS, None, 6).drop("mask", "clean")
 
 
 def masked_positions(paras: DataFrame, shingles: DataFrame, n: int = 6) -> DataFrame:
     """talk_id, pos, mask: sorted places of the tokens inside a run of n words that the canon has too."""
+    known = _sent(shingles)
+    if known is not None:
+        return K.masked(paras, known, n)
     runs = paras.select("talk_id", "pos", F.posexplode(T.windows("norm", n)).alias("i", "shingle"))
     hits = runs.join(shingles, "shingle", "left_semi")
     spread = hits.select("talk_id", "pos", F.explode(F.sequence("i", F.col("i") + (n - 1))).alias("at"))
     return spread.groupBy("talk_id", "pos").agg(F.sort_array(F.collect_set("at")).alias("mask"))
 
 
-def clean_segments(segs: Column, mask: Column) -> Column:
-    """Sentences cut at masked tokens; what is left of each, without empty parts."""
-    none = F.array().cast("array<int>")
-    offset = lambda k: F.aggregate(F.slice(segs, F.lit(1), k), F.lit(0), lambda a, s: a + F.size(s))
-    marked = F.transform(segs, lambda s, k: F.array_join(F.transform(s, lambda w, j: F.when(F.array_contains(F.coalesce(mask, none), offset(k) + j), "|").otherwise(w)), " "))
-    parts = F.flatten(F.transform(marked, lambda t: F.split(t, r"\|")))
-    cut = F.filter(F.transform(parts, lambda t: F.filter(F.split(F.trim(t), " "), lambda w: w != "")), lambda s: F.size(s) > 0)
-    return F.when(mask.isNull(), segs).otherwise(cut)
-
-
 def clean_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """normalised plus mask and the clean segments that counting uses."""
+    """talk_id, ord, speaker, grp, pos, norm, mask and the clean segments that counting uses."""
 
     def make():
-        paras = normalised(spark, sf_dir)
-        mask = masked_positions(paras, C.canon_shingles(spark, sf_dir))
-        return paras.join(mask, ["talk_id", "pos"], "left").withColumn("clean", clean_segments(F.col("segs"), F.col("mask")))
+        canon = C.canon_shingles(spark, sf_dir)
+        known = _sent(canon)
+        if known is not None:
+            return K.normalised(C.talks(spark, sf_dir), C.ADDRESS_WORDS, known, 6).drop("segs")
+        paras = kept(spark, sf_dir, "normalised", lambda: K.normalised(C.talks(spark, sf_dir), C.ADDRESS_WORDS, None, 6))
+        mask = masked_positions(paras, canon)
+        return K.recleaned(paras.drop("mask").join(mask, ["talk_id", "pos"], "left").select(paras.columns)).drop("segs")
 
     return kept(spark, sf_dir, "clean", make)
 
 
 def gram_talks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """term, talk_id, ord, speaker, grp, c: uses of every meaningful 1- to 5-gram by talk."""
+    """term, h, talk_id, ord, speaker, grp, c: uses of every meaningful 1- to 5-gram by talk; h is a hash of the term."""
 
     def make():
-        segs = clean_paragraphs(spark, sf_dir).select("talk_id", "ord", "speaker", "grp", F.explode("clean").alias("seg"))
-        return segs.select("talk_id", "ord", "speaker", "grp", F.explode(T.grams("seg")).alias("term")).groupBy("term", "talk_id", "ord", "speaker", "grp").agg(F.count("*").alias("c"))
+        known = _sent(C.canon_shingles(spark, sf_dir))
+        if known is not None:
+            return K.grams(C.talks(spark, sf_dir), C.ADDRESS_WORDS, known, 6)
+        talk = clean_paragraphs(spark, sf_dir).groupBy("talk_id", "ord", "speaker", "grp").agg(F.flatten(F.collect_list("clean")).alias("clean"))
+        return K.grams_of_lists(talk)
 
     return kept(spark, sf_dir, "gram_talks", make)
 
 
 def term_ord(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """term, ord, count, talks, speakers of the terms that two talks use."""
+    """term, ord, count, talks, speakers of the terms that two talks use.
+
+    Terms of one talk, most of all, are dropped by their hash (64 bits) before any text is shuffled."""
 
     def make():
         uses = gram_talks(spark, sf_dir)
-        per = uses.groupBy("term", "ord").agg(F.sum("c").alias("count"), F.count("*").alias("talks"), F.countDistinct("speaker").alias("speakers"))
-        wide = per.groupBy("term").agg(F.sum("talks").alias("t")).where(F.col("t") >= LEAST_TALKS).select("term")
-        return per.join(wide, "term", "left_semi")
+        wide = uses.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TALKS).select("h")
+        wide = kept(spark, sf_dir, "wide_terms", lambda: wide)
+        some = uses.join(F.broadcast(wide) if wide.count() <= MOST_TERMS_SENT else wide, "h", "left_semi")
+        per = some.groupBy("term", "ord", "speaker").agg(F.sum("c").alias("c"), F.count("*").alias("k"))
+        return per.groupBy("term", "ord").agg(F.sum("c").alias("count"), F.sum("k").alias("talks"), F.count("speaker").alias("speakers"))
 
     return kept(spark, sf_dir, "term_ord", make)
 
@@ -81,7 +94,7 @@ def ord_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ord, words, talks, speakers; words outside of canon runs."""
 
     def make():
-        words = F.aggregate("clean", F.lit(0), lambda a, s: a + F.size(s))
+        words = F.size(F.flatten("clean"))
         return clean_paragraphs(spark, sf_dir).groupBy("ord").agg(F.sum(words).alias("words"), F.countDistinct("talk_id").alias("talks"), F.countDistinct("speaker").alias("speakers"))
 
     return kept(spark, sf_dir, "ord_stats", make)

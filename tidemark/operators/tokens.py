@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,28 +19,39 @@ _PIECE = re.compile(r"[“”\".!?]|(?<![0-9a-z])[a-z]+(?:['’][a-z]+)*")
 def triples(text: str, collapse: bool = False) -> list[tuple[str, bool, bool]]:
     """(token, inside quotation marks, starts a sentence) for a paragraph.
 
-    ``collapse`` drops a word or phrase of up to three words that is said twice in a row.
-    """
-    made: list[tuple[str, bool, bool]] = []
-    inside, begins = False, True
-    for m in _PIECE.finditer((text or "").lower()):
-        piece = m[0]
-        if piece in "“”\"":
-            inside = not inside if piece == '"' else piece == "“"
-        elif piece in "!?":
-            begins = True
-        elif piece == ".":
-            before = made[-1][0] if made else ""
-            begins = len(before) != 1 and before not in ABBREVIATIONS
-        else:
-            made.append((piece.replace("’", "'"), inside, begins))
-            begins = False
-            if collapse:
-                spoken = [w for w, _, _ in made]
-                again = next((k for k in (1, 2, 3) if len(spoken) >= 2 * k and spoken[-k:] == spoken[-2 * k : -k] and 2 * k <= 6), 0)
-                if again:
-                    del made[-again:]
-    return made
+    A token is inside when the last curly mark before it opens and an even number of straight ones followed, or the
+    other way round. It starts a sentence when it is the first, or when the last stop since the token before it is ! or ?,
+    or a full stop after no initial or abbreviation. ``collapse`` drops a word or phrase of up to three words that is said
+    twice in a row."""
+    pieces = np.array(_PIECE.findall((text or "").lower()), object)
+    if not len(pieces):
+        return []
+    place = np.arange(1, len(pieces) + 1)
+    latest = lambda on: np.maximum.accumulate(np.where(on, place, 0))
+    opens, closes, straight = (pieces == mark for mark in "“”\"")
+    word = np.array([p[0].isalpha() for p in pieces])
+    turn, odd = latest(opens | closes), np.append(0, np.cumsum(straight))
+    inside = (np.append(False, opens)[turn] + odd[1:] - odd[turn]) % 2 == 1
+    stop = np.isin(pieces, [".", "!", "?"])
+    at = np.flatnonzero(word)
+    before, mark = np.append(0, at[:-1] + 1), latest(stop)[at]
+    quiet = np.array([len(p) == 1 or p in ABBREVIATIONS for p in pieces])
+    ends = (mark > before) & ~((np.append("", pieces)[mark] == ".") & np.append(False, quiet)[before])
+    ends[:1] = True
+    made = list(zip((p.replace("’", "'") for p in pieces[at]), inside[at].tolist(), ends.tolist(), strict=True))
+    return [made[k] for k in said_once([w for w, _, _ in made])] if collapse else made
+
+
+def said_once(words: list[str], longest: int = 3) -> list[int]:
+    """Places of the words that are left when a phrase right after itself goes, the shortest first."""
+    held: list[int] = []
+    for k in range(len(words)):
+        held.append(k)
+        tail = [words[i] for i in held[-2 * longest :]]
+        sizes = [n for n in range(1, longest + 1) if 2 * n <= len(tail) and tail[-n:] == tail[len(tail) - 2 * n : len(tail) - n]]
+        if sizes:
+            del held[-sizes[0] :]
+    return held
 
 
 def token_triples(paras: DataFrame, collapse: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _KEPT: dict[tuple[str, str, str], DataFrame] = {}
+_FACTS: dict[tuple[str, str, str], object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,15 @@ def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFra
     return _KEPT[key]
 
 
+def fact(spark: SparkSession, sf_dir: str, name: str, find: Callable[[], object]):
+    """A small fact about ``sf_dir``, found once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _FACTS:
+        _FACTS[key] = find()
+    return _FACTS[key]
+
+
 def forget() -> None:
-    """Drop what ``kept`` remembers: the next use builds anew."""
+    """Drop what ``kept`` and ``fact`` remember: the next use builds anew."""
     _KEPT.clear()
+    _FACTS.clear()

@@ -1,7 +1,8 @@
 """The corpus model over the given tables: talks in time buckets, paragraphs, canon, links and vectors.
 
-A document is a talk; its source is the speaker, its language the group; 40 runs of equal length of doc_id are the
-buckets (``ord`` 1 to 40, two a year from April 1971); the lines of the text are paragraphs; a talk of 150 words and more
+A document is a talk; its source is the speaker, its language the group; 40 ranges of equal length of doc_id, from the
+smallest to the largest, are the buckets (``ord`` 1 to 40, two a year from April 1971), and a document without an id has
+no place in time and is left out; the lines of the text are paragraphs; a talk of 150 words and more
 is an address; the benchmark passages are the canon.
 """
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.store import fact, kept
 
 BUCKETS = 40
 ADDRESS_WORDS = 150
@@ -20,24 +22,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files make fewer partitions than there are cores; a larger input stays as read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    return df.repartition(cores) if len(files) < cores and _scan_partitions(df) < cores else df
+def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+    """The documents and their smallest and largest id, which are looked up once an application.
 
+    A table of fewer partitions than there are cores is written anew in as many: it is small by that measure."""
 
-def _scan_partitions(df: DataFrame) -> int:
-    return df._jdf.queryExecution().toRdd().getNumPartitions()
+    def seen() -> tuple[bool, int, int]:
+        docs = table(spark, sf_dir, "documents")
+        low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+        few = docs._jdf.queryExecution().toRdd().getNumPartitions() < spark.sparkContext.defaultParallelism
+        return few, 0 if low is None else low, 0 if high is None else high
+
+    few, low, high = fact(spark, sf_dir, "documents", seen)
+    docs = table(spark, sf_dir, "documents")
+    if few:
+        docs = kept(spark, sf_dir, "documents", lambda: docs.repartition(spark.sparkContext.defaultParallelism))
+    return docs, low, high
 
 
 def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """talk_id, ord, year, decade, speaker, grp, title, text."""
-    docs = spread(table(spark, sf_dir, "documents"))
-    n = table(spark, sf_dir, "documents").count()  # from the files' footers
-    ord_ = (F.floor(F.col("doc_id") * BUCKETS / F.lit(max(n, 1))) + 1).cast("int")
+    docs, low, high = _documents(spark, sf_dir)
+    ord_ = (F.floor((F.col("doc_id") - low) * BUCKETS / F.lit(high - low + 1)) + 1).cast("int")
     year = (1971 + F.floor((F.col("ord") - 1) / 2)).cast("int")
-    return docs.select(
+    return docs.where("doc_id IS NOT NULL").select(
         F.col("doc_id").alias("talk_id"), ord_.alias("ord"), F.col("source").alias("speaker"), F.col("lang").alias("grp"), F.substring("text", 1, 60).alias("title"), "text"
     ).withColumn("year", year).withColumn("decade", (F.floor(F.col("year") / 10) * 10).cast("int"))
 
@@ -68,7 +76,8 @@ def canon_shingles(spark: SparkSession, sf_dir: str, n: int = 6) -> DataFrame:
 
 #: DuckDB counterparts of the above, as common table expressions.
 SQL_TALKS = f"""
-talk0 AS (SELECT doc_id AS talk_id, ((doc_id * {BUCKETS}) // (SELECT count(*) FROM documents) + 1)::INT AS ord, source AS speaker, lang AS grp, substr(text, 1, 60) AS title, text FROM documents),
+span AS (SELECT min(doc_id) AS low, max(doc_id) AS high FROM documents),
+talk0 AS (SELECT doc_id AS talk_id, (((doc_id - low) * {BUCKETS}) // (high - low + 1) + 1)::INT AS ord, source AS speaker, lang AS grp, substr(text, 1, 60) AS title, text FROM documents, span WHERE doc_id IS NOT NULL),
 talk AS (SELECT *, (1971 + (ord - 1) // 2)::INT AS year, (((1971 + (ord - 1) // 2) // 10) * 10)::INT AS decade FROM talk0)"""
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .lexicon import STOPWORDS
+from .stem import stem
 from .text import QUIET_STOP, WORD
 
 _WORD, _QUIET, _STOP = re.compile(WORD), re.compile(QUIET_STOP), re.compile("[.!?]+")
@@ -264,3 +265,32 @@ def shingles(paras: DataFrame, k: int) -> DataFrame:
             yield pa.record_batch([*_repeated(batch, rows), batch.column("pos").take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(found, pa.string())], [*_KEYS, "pos", "i", "shingle"])
 
     return paras.select(*_KEYS, "pos", "norm", "mask").mapInArrow(made, f"{_KEPT}, pos int, i int, shingle string")
+
+
+def stem_runs(paras: DataFrame, most: int = 5) -> DataFrame:
+    """run: every run of 1 to ``most`` stems in ``norm``, once a batch."""
+
+    def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
+        for batch in batches:
+            found: set[str] = set()
+            for tokens in batch.column("norm"):
+                own = [known.setdefault(w, stem(w)) for w in tokens.as_py()]
+                for n in range(1, most + 1):
+                    found.update(runs(own, n))
+            yield pa.record_batch([pa.array(sorted(found), pa.string())], ["run"])
+
+    return paras.select("norm").mapInArrow(made, "run string")
+
+
+def hits(talks: DataFrame, known: frozenset[str], n: int) -> DataFrame:
+    """talk_id, run: the known runs of n words that each talk (talk_id, text) holds."""
+    sent = talks.sparkSession.sparkContext.broadcast(known)
+
+    def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, run) for k, text in enumerate(batch.column("text")) for run in sent.value.intersection(runs(words(text.as_py() or ""), n))]
+            rows = pa.array([k for k, _ in found], pa.int64())
+            yield pa.record_batch([batch.column("talk_id").take(rows), pa.array([r for _, r in found], pa.string())], ["talk_id", "run"])
+
+    return talks.select("talk_id", "text").mapInArrow(made, "talk_id long, run string")

@@ -25,6 +25,10 @@ ABBREVIATIONS = "mr mrs ms dr st jr sr vs no vol pp etc".split()
 TITLES = "president elder sister brother bishop presidents elders".split()
 HONORIFICS = "mr mrs ms dr".split()
 
+# Words that are no names though they are capitalised, and how such words may begin.
+PROPER_ALLOWED = "familysearch justserve covid seminary primary".split()
+PROPER_ALLOWED_START = "christ"
+
 # Inflections that the dictionary accepts, as (suffix, what stands for it).
 INFLECTIONS = (("ies", "y"), ("es", ""), ("s", ""), ("ing", ""), ("ing", "e"), ("ed", ""), ("ed", "e"), ("d", ""), ("ly", ""), ("er", ""), ("ers", ""))
 

@@ -113,11 +113,24 @@ def _canon_words(s: SparkSession, d: str) -> DataFrame:
     return C.canon(s, d).select(F.explode("toks").alias("word")).distinct()
 
 
+def one_edit(words: DataFrame, others: DataFrame) -> DataFrame:
+    """word, other of the pairs (word), (other) that one letter more, less or changed sets apart.
+
+    Such words share a form with one letter left out, or one is such a form of the other: they meet by these forms."""
+
+    def forms(name: str) -> Column:
+        w = F.col(name)
+        cut = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+        return F.explode(F.array_distinct(F.concat(F.array(w), F.when(F.length(w) > 0, cut).otherwise(F.array().cast("array<string>"))))).alias("form")
+
+    met = words.select("word", forms("word")).join(others.select("other", forms("other")), "form")
+    return met.where(F.levenshtein("word", "other") == 1).select("word", "other").distinct()
+
+
 def _pairs(s, d):
-    """Words of one first letter and similar length, to compare by edits."""
-    words = _canon_words(s, d).where("length(word) >= 5").withColumn("head", F.substring("word", 1, 3))
-    other = words.select(F.col("word").alias("other"), "head")
-    return words.join(other, "head").where("word < other").select("word", "other", (F.levenshtein("word", "other") == 1).alias("one"))
+    """Words of the canon of five letters and more that one edit sets apart, each pair once."""
+    words = _canon_words(s, d).where("length(word) >= 5")
+    return one_edit(words, words.select(F.col("word").alias("other"))).where("word < other")
 
 
 _NORM = f"WITH {I.SQL_NORM}"
@@ -137,7 +150,7 @@ QUERIES = {
     "txt_dictionary": lambda s, d: in_dictionary(I.vocabulary(s, d).select("word"), _canon_words(s, d)),
     "txt_stopwords": lambda s, d: I.vocabulary(s, d).where(F.col("word").isin(STOPWORDS)).select("word", "total"),
     "txt_ordname": lambda s, d: s.range(-60, 120).select(F.col("id").cast("int").alias("ord"), T.period_name(F.col("id")).alias("name")),
-    "txt_unstutter": lambda s, d: C.talks(s, d).select("talk_id", unstutter(F.lower("title")).alias("shown")),
+    "txt_unstutter": lambda s, d: C.talks(s, d).select("talk_id", unstutter(F.lower("text")).alias("shown")),
     "txt_tidy": lambda s, d: C.talks(s, d).select("talk_id", tidy(F.col("text")).alias("shown")),
     "txt_showterm": lambda s, d: I.vocabulary(s, d).select("word", F.when((F.col("cap_mid") >= 2) & (F.col("cap_mid") >= 9 * F.col("lower_mid")), F.initcap("word")).otherwise(F.col("word")).alias("shown")),
 }
@@ -163,7 +176,7 @@ ORACLES = {
     "txt_meaningful": f"""WITH {C.SQL_CANON}, g AS (SELECT DISTINCT gram FROM ({" UNION ALL ".join(f"SELECT unnest({C.sql_windows('toks', n)}) AS gram FROM canon" for n in range(1, 6))}))
       SELECT gram, string_split(gram, ' ')[1] NOT IN ({sql_list(STOPWORDS)}) AND string_split(gram, ' ')[-1] NOT IN ({sql_list(STOPWORDS)}) AS ok FROM g""",
     "txt_count_overlap": f"WITH {C.SQL_TALKS}, w AS (SELECT talk_id, {C.sql_words('text')} AS w FROM talk) SELECT talk_id, len(list_filter({C.sql_windows('w', 2)}, lambda g: g = 'of the'))::INT AS n FROM w",
-    "txt_one_edit": f"WITH {C.SQL_CANON}, w AS (SELECT DISTINCT word FROM (SELECT unnest(toks) AS word FROM canon) WHERE length(word) >= 5) SELECT a.word, b.word AS other, levenshtein(a.word, b.word) = 1 AS one FROM w a JOIN w b ON substr(a.word, 1, 3) = substr(b.word, 1, 3) AND a.word < b.word",
+    "txt_one_edit": f"WITH {C.SQL_CANON}, w AS (SELECT DISTINCT word FROM (SELECT unnest(toks) AS word FROM canon) WHERE length(word) >= 5) SELECT a.word, b.word AS other FROM w a JOIN w b ON a.word < b.word AND abs(length(a.word) - length(b.word)) <= 1 AND levenshtein(a.word, b.word) = 1",
     "txt_dictionary": f"WITH voc AS ({I.ORACLES['txt_vocab_caps']}), {C.SQL_CANON}, dict AS (SELECT DISTINCT unnest(toks) AS form FROM canon), f AS (SELECT word, unnest({_FORMS}) AS form FROM (SELECT word, replace(word, '''s', '') AS b FROM voc)) SELECT DISTINCT word FROM f SEMI JOIN dict USING (form)",
     "txt_stopwords": f"WITH voc AS ({I.ORACLES['txt_vocab_caps']}) SELECT word, total FROM voc WHERE word IN ({sql_list(STOPWORDS)})",
     "txt_ordname": "SELECT id::INT AS ord, CASE WHEN ((id - 1) % 2 + 2) % 2 = 0 THEN 'April ' ELSE 'October ' END || (1971 + floor((id - 1) / 2.0))::INT AS name FROM range(-60, 120) r(id)",

@@ -18,7 +18,7 @@ MOST_SENT = 400_000
 MOST_TERMS_SENT = 4_000_000
 
 
-def _sent(shingles: DataFrame) -> frozenset[str] | None:
+def sent(shingles: DataFrame) -> frozenset[str] | None:
     """The runs in ``shingles`` if they are few enough to be sent."""
     found = shingles.limit(MOST_SENT + 1).collect()
     return frozenset(r["shingle"] for r in found) if len(found) <= MOST_SENT else None
@@ -31,7 +31,7 @@ def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def masked_positions(paras: DataFrame, shingles: DataFrame, n: int = 6) -> DataFrame:
     """talk_id, pos, mask: sorted places of the tokens inside a run of n words that the canon has too."""
-    known = _sent(shingles)
+    known = sent(shingles)
     if known is not None:
         return K.masked(paras, known, n)
     runs = paras.select("talk_id", "pos", F.posexplode(T.windows("norm", n)).alias("i", "shingle"))
@@ -45,7 +45,7 @@ def clean_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def make():
         canon = C.canon_shingles(spark, sf_dir)
-        known = _sent(canon)
+        known = sent(canon)
         if known is not None:
             return K.normalised(C.talks(spark, sf_dir), C.ADDRESS_WORDS, known, 6).drop("segs")
         paras = kept(spark, sf_dir, "normalised", lambda: K.normalised(C.talks(spark, sf_dir), C.ADDRESS_WORDS, None, 6))
@@ -59,7 +59,7 @@ def gram_talks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """term, h, talk_id, ord, speaker, grp, c: uses of every meaningful 1- to 5-gram by talk; h is a hash of the term."""
 
     def make():
-        known = _sent(C.canon_shingles(spark, sf_dir))
+        known = sent(C.canon_shingles(spark, sf_dir))
         if known is not None:
             return K.grams(C.talks(spark, sf_dir), C.ADDRESS_WORDS, known, 6)
         talk = clean_paragraphs(spark, sf_dir).groupBy("talk_id", "ord", "speaker", "grp").agg(F.flatten(F.collect_list("clean")).alias("clean"))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.nearest import nearest
 from ..plans.store import shared_dir
 from ..sources import corpus as C
 from ..sources.pages import parsed
 
-# Titles of items that are not addresses, and titles before a speaker's name.
+# Titles of items that are not addresses; what may stand before a speaker's name, as often as it does.
 BUSINESS = r"(?i)sustaining of|audit|statistical report|officers sustained|solemn assembly|^report of the|church finance committee|video presentation|^video:"
-NAME_TITLES = r"(?i)^(?:(?:by |presented by )?(?:president|elder|sister|bishop|brother|presiding bishop|patriarch|dr\.?) +|by |presented by )+"
+BEFORE_NAMES = "by|presented by|read by|given by|president|elder|sister|bishop|brother|presiding bishop|patriarch|dr\\.?"
+NAME_TITLES = rf"(?i)^(?:(?:{BEFORE_NAMES})\s+)+"
 ACCENTS = ("áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
 
@@ -37,10 +41,20 @@ def parse_ref(href: Column) -> Column:
     )
 
 
+def compatible(text: Column) -> Column:
+    """Full-width forms, ligatures and no-break blanks as plain ones: the part of compatibility forms that names meet."""
+    wide = "".join(chr(0xFF01 + k) for k in range(94))
+    plain = F.translate(text, wide + "\u00a0\u2007\u202f\u3000", "".join(chr(0x21 + k) for k in range(94)) + "    ")
+    for lig, by in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("…", "...")):
+        plain = F.replace(plain, F.lit(lig), F.lit(by))
+    return plain
+
+
 def clean_name(raw: Column) -> Column:
-    """The name without titles, as often as one stands before it."""
-    name = F.trim(F.regexp_replace(F.replace(F.coalesce(raw, F.lit("")), F.lit(" "), F.lit(" ")), r"\s+", " "))
-    return F.regexp_replace(F.trim(F.regexp_replace(name, NAME_TITLES, "")), r",? +(Jr|Sr)\.?$", " $1.")
+    """The name without blanks, commas and colons around it and without titles, as often as one stands before it."""
+    name = F.regexp_replace(compatible(F.coalesce(raw, F.lit(""))), r"\s+", " ")
+    name = F.regexp_replace(name, r"^[ ,:]+|[ ,:]+$", "")
+    return F.regexp_replace(F.trim(F.regexp_replace(name, NAME_TITLES, "")), r",?\s+(Jr|Sr)\.?$", " $1.")
 
 
 def name_key(raw: Column) -> Column:
@@ -65,11 +79,9 @@ def append_new(old: DataFrame, new: DataFrame, key: str = "href") -> DataFrame:
 
 def fill_groups(talks: DataFrame) -> DataFrame:
     """talk_id, grp: a blank group takes that of the same speaker's talk with the nearest id, ties to the lower."""
-    blank = talks.where("grp = ''").select("talk_id", "speaker")
-    known = talks.where("grp <> ''").select(F.col("talk_id").alias("other"), "speaker", F.col("grp").alias("found"))
-    best = Window.partitionBy("talk_id").orderBy(F.abs(F.col("talk_id") - F.col("other")), "other")
-    nearest = blank.join(known, "speaker").withColumn("k", F.row_number().over(best)).where("k = 1").select("talk_id", "found")
-    return talks.join(nearest, "talk_id", "left").select("talk_id", F.when(F.col("grp") == "", F.coalesce("found", F.lit(""))).otherwise(F.col("grp")).alias("grp"))
+    found = nearest(talks.where("grp = ''"), talks.where("grp <> ''").select("talk_id", "speaker", F.col("grp").alias("found")), "speaker", "talk_id", "found")
+    filled = F.when(F.col("grp") == "", F.coalesce("found", F.lit(""))).otherwise(F.col("grp"))
+    return talks.join(found.select("talk_id", "found"), "talk_id", "left").select("talk_id", filled.alias("grp"))
 
 
 def replace_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,8 +107,11 @@ LINKS = [
     "/study/scriptures/bofm/2-ne/2?lang=eng&amp;id=p25#p25", "/study/scriptures/ot/ps/16?lang=eng&amp;id=p8%2Cp11#p8", "/study/general-conference/2022/04/47nelson?lang=eng", "/study/general-conference/2022/04/saturday-morning-session?lang=eng",
     "https://example.com/x", "/scriptures/nt/john", "/scriptures/nt/john/3?id=p16-p17",
 ]
-NAMES = ["By President Ann B. Case", "Elder Ann B. Case", "Ann B. Case", "Gérald Caussé", "Bishop Gerald Causse", "John Doe, Jr", "Sister  Mary  Roe"]
-ROLES = ["President of the Church", "Second Counselor in the First Presidency", "Of the Quorum of the Twelve Apostles", "Assistant to the Council of the Twelve", "Of the Seventy", ""]
+NAMES = ["By President Ann B. Case", "Elder Ann B. Case", "Ann B. Case", "Read by Sister Ann B. Case:", "René Fouché", "Bishop Rene Fouche", "John Doe, Jr", "Given by Elder John Doe Jr.", "Sister  Mary  Roe ,", "Presiding Bishop Ｌee Ｐark"]
+ROLES = [
+    "President of the Church", "Second Counselor in the First Presidency", "Of the Quorum of the Twelve Apostles", "Acting President of the Quorum of the Twelve Apostles", "Assistant to the Council of the Twelve",
+    "Of the Seventy", "",
+]
 
 
 def _rows(spark, values, name):
@@ -111,20 +126,26 @@ _CSV = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteS
 
 
 def _csv(s, d):
-    path = f"{shared_dir(s)}/talks-csv-{d.strip('/').replace('/', '-').replace(':', '')}"
-    C.talks(s, d).select("talk_id", "ord", "speaker", "title").write.mode("overwrite").options(**_CSV).csv(path)
+    path = f"{shared_dir(s)}/tidemark-{uuid.uuid4().hex}/talks-csv"
+    C.talks(s, d).select("talk_id", "ord", "speaker", "title").write.options(**_CSV).csv(path)
     return s.read.schema("talk_id long, ord int, speaker string, title string").option("multiLine", True).options(**_CSV).csv(path)
 
 
 def _json(s, d):
     from . import signals
 
-    path = f"{shared_dir(s)}/signals-json-{d.strip('/').replace('/', '-').replace(':', '')}"
+    path = f"{shared_dir(s)}/tidemark-{uuid.uuid4().hex}/signals-json"
     rows = signals.ranked(s, d).where("rank <= 40")
-    rows.write.mode("overwrite").json(path)
+    rows.write.json(path)
     return s.read.schema(rows.schema).json(path)
 
 
+def _links(s, d):
+    """href: the samples and the different links of the pages."""
+    found = C.table(s, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))).alias("href"))
+    return _rows(s, LINKS, "href").unionByName(found).distinct()
+
+
 def _pages(s, d):
     return parsed(C.table(s, d, "pages"))
 
@@ -148,7 +169,7 @@ QUERIES = {
     "src_scrape_conf": lambda s, d: C.table(s, d, "pages").where(F.col("html").isNotNull() & (F.col("html") != "")).select("page_id", "url"),
     "src_incremental": lambda s, d: append_new(_half(s, d, False), _half(s, d, True)),
     "src_html_clean": lambda s, d: _pages(s, d).select("page_id", F.explode("paragraphs").alias("para")),
-    "src_parse_ref": lambda s, d: _rows(s, LINKS, "href").select("href", parse_ref(F.col("href")).alias("r")).select("href", "r.*"),
+    "src_parse_ref": lambda s, d: _links(s, d).select("href", parse_ref(F.col("href")).alias("r")).select("href", "r.*"),
     "src_sessions": lambda s, d: _pages(s, d).select("page_id", F.posexplode("headings").alias("i", "heading")),
     "src_parse_talk": _parse_talk,
     "src_talk_kind": lambda s, d: C.talks(s, d).select("talk_id", kind_of(F.col("title"), F.col("speaker"), F.size(T.words("text"))).alias("kind")),
@@ -173,7 +194,7 @@ ORACLES = {
     "src_calendar": "SELECT strftime(m, '%Y-%m') AS conf_id FROM range(DATE '1971-01-01', DATE '1991-01-01', INTERVAL 1 MONTH) r(m) WHERE month(m) IN (4, 10) AND m >= DATE '1971-01-15' AND m <= DATE '1990-12-31'",
     "src_scrape_conf": "SELECT page_id, url FROM pages WHERE html IS NOT NULL AND html <> ''",
     "src_incremental": f"WITH {C.SQL_TALKS} SELECT talk_id AS href, speaker FROM talk WHERE talk_id % 2 = 0 OR talk_id % 3 <> 0",
-    "src_parse_ref": f"""WITH l(href) AS (VALUES {_values(LINKS)}), p AS (SELECT href, {_REF} AS path, url_decode(regexp_extract(replace(href, '&amp;', '&'), '[?&]id=([^&#]*)', 1)) AS ids FROM l),
+    "src_parse_ref": f"""WITH l(href) AS (SELECT * FROM (VALUES {_values(LINKS)}) UNION SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) FROM pages), p AS (SELECT href, {_REF} AS path, url_decode(regexp_extract(replace(href, '&amp;', '&'), '[?&]id=([^&#]*)', 1)) AS ids FROM l),
       c AS (SELECT *, regexp_matches(path, '{_CANON}') AS s, regexp_matches(path, '{_TALK}') AND NOT ends_with(path, '-session') AS t FROM p)
       SELECT href, CASE WHEN s THEN 'scripture' WHEN t THEN 'talk' END AS kind, CASE WHEN s OR t THEN path END AS path, CASE WHEN s THEN regexp_extract(path, '{_CANON}', 1) END AS volume, CASE WHEN s THEN regexp_extract(path, '{_CANON}', 2) END AS book,
         CASE WHEN s THEN nullif(regexp_extract(path, '{_CANON}', 3), '') END AS chapter, CASE WHEN s THEN CASE WHEN regexp_full_match(ids, '[p0-9,\\-]*') THEN regexp_replace(ids, 'p([0-9]+)', '\\1', 'g') ELSE '' END END AS verses FROM c""",
@@ -182,7 +203,9 @@ ORACLES = {
     "src_fill_group": f"""WITH {C.SQL_TALKS}, t AS (SELECT talk_id, speaker, CASE WHEN talk_id % 7 = 0 THEN '' ELSE grp END AS grp FROM talk)
       SELECT talk_id, CASE WHEN grp <> '' THEN grp ELSE coalesce((SELECT o.grp FROM t o WHERE o.speaker = t.speaker AND o.grp <> '' ORDER BY abs(o.talk_id - t.talk_id), o.talk_id LIMIT 1), '') END AS grp FROM t""",
     "src_build": f"WITH {C.SQL_TALKS} SELECT DISTINCT speaker FROM talk WHERE speaker NOT IN (SELECT speaker FROM talk WHERE talk_id % 20 < 15)",
-    "src_speaker": "SELECT * FROM (VALUES ('ann b case', 'Ann B. Case', 3::BIGINT), ('gerald causse', 'Gerald Causse', 2), ('john doe jr', 'John Doe Jr.', 1), ('mary roe', 'Mary Roe', 1)) t(key, name, aliases)",
+    "src_speaker": f"""WITH n(raw) AS (VALUES {_values(NAMES)}), w AS (SELECT raw, trim(regexp_replace(translate(raw, 'ＬＰ', 'LP'), '\\s+', ' ', 'g'), ' ,:') AS w FROM n),
+      c AS (SELECT regexp_replace(trim(regexp_replace(w, '(?i)^((by|presented by|read by|given by|president|elder|sister|bishop|brother|presiding bishop|patriarch|dr\\.?) +)+', '')), ',? +(Jr|Sr)\\.?$', ' \\1.') AS name FROM w)
+      SELECT trim(regexp_replace(regexp_replace(lower(strip_accents(name)), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g')) AS key, min(name) AS name, count(*) AS aliases FROM c GROUP BY 1""",
     "src_group": f"WITH r(role) AS (VALUES {_values(ROLES)}) SELECT role, CASE WHEN contains(lower(role), 'first presidency') OR contains(lower(role), 'president of the church') THEN 'First Presidency' WHEN contains(lower(role), 'twelve') AND NOT contains(lower(role), 'assistant') THEN 'Twelve' ELSE 'Other' END AS grp FROM r",
     "src_scribe": "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text, count(*) AS turns FROM conversations WHERE NOT regexp_matches(text, '^[#©]') GROUP BY 1",
     "src_reconcile": f"""WITH {C.SQL_TALKS}, a AS (SELECT ord, count(*) AS ours FROM talk WHERE ord <> 7 AND talk_id % 3 <> 0 GROUP BY 1), b AS (SELECT ord, count(*) AS theirs FROM talk WHERE ord <> 9 AND talk_id % 2 = 0 GROUP BY 1)

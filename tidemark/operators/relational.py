@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
+from ..functions import text as T
+from ..plans.nearest import nearest
 from ..sources import corpus as C
+from . import index as I
 
 _t = C.table
 
@@ -42,22 +46,24 @@ def join_range(s, d) -> DataFrame:
 
 
 def join_theta_contains(s, d) -> DataFrame:
-    """Canon lines that a talk holds word for word, found by their first shingle and then proved."""
-    from ..functions import text as T
-
-    canon = C.canon(s, d).where(F.size("toks") >= 6).select("book", "chapter", "verse", F.array_join("toks", " ").alias("line"), F.array_join(F.slice("toks", 1, 6), " ").alias("shingle"))
-    talks = T.pinned(C.talks(s, d).select("talk_id", "text"), "w", T.words("text"))
-    runs = talks.select("talk_id", F.array_join("w", " ").alias("norm"), F.explode(F.array_distinct(T.windows("w", 6))).alias("shingle"))
-    hit = runs.join(canon, "shingle")
-    return hit.where(F.concat(F.lit(" "), "norm", F.lit(" ")).contains(F.concat(F.lit(" "), "line", F.lit(" ")))).select("talk_id", "book", "chapter", "verse").distinct()
+    """Canon lines that a talk holds word for word, found by their first shingle and then proved on the texts of those."""
+    canon = C.canon(s, d).where(F.size("toks") >= 6).select("book", "chapter", "verse", F.array_join("toks", " ").alias("line"), F.array_join(F.slice("toks", 1, 6), " ").alias("run"))
+    talks, known = C.talks(s, d).select("talk_id", "text"), I.sent(canon.select(F.col("run").alias("shingle")).distinct())
+    if known is None:
+        words = T.pinned(talks, "w", T.words("text"))
+        found = words.select("talk_id", F.explode(F.array_distinct(T.windows("w", 6))).alias("run")).join(canon.select("run").distinct(), "run", "left_semi")
+    else:
+        found = K.hits(talks, known, 6)
+    norm = F.concat(F.lit(" "), F.array_join(T.words("text"), " "), F.lit(" "))
+    texts = talks.join(found.select("talk_id").distinct(), "talk_id", "left_semi").select("talk_id", norm.alias("norm"))
+    return found.join(canon, "run").join(texts, "talk_id").where(F.col("norm").contains(F.concat(F.lit(" "), "line", F.lit(" ")))).select("talk_id", "book", "chapter", "verse").distinct()
 
 
 def join_nearest(s, d) -> DataFrame:
     """Every German talk with the English talk of the same speaker whose id is nearest, ties to the lower id."""
-    a = C.talks(s, d).where("grp = 'en'").select("speaker", F.col("talk_id").alias("other"))
-    b = C.talks(s, d).where("grp = 'de'").select("speaker", "talk_id")
-    best = Window.partitionBy("talk_id").orderBy(F.abs(F.col("talk_id") - F.col("other")), "other")
-    return b.join(a, "speaker").withColumn("rn", F.row_number().over(best)).where("rn = 1").select("talk_id", "other")
+    talks = C.talks(s, d)
+    found = nearest(talks.where("grp = 'de'"), talks.where("grp = 'en'"), "speaker", "talk_id", "grp")
+    return found.select("talk_id", "other")
 
 
 def subq_scalar_corr(s, d) -> DataFrame:
@@ -84,7 +90,7 @@ def agg_having(s, d) -> DataFrame:
 
 
 def agg_group_ordinal(s, d) -> DataFrame:
-    return s.sql(f"SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM parquet.`{d}/lineitem.parquet` GROUP BY 1, 2") if "://" not in d else _t(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("b")).agg(F.count("*").alias("n"))
+    return s.sql("SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM {lines} GROUP BY 1, 2", lines=_t(s, d, "lineitem"))
 
 
 def sort_topk(s, d) -> DataFrame:
@@ -96,9 +102,10 @@ def distinct(s, d) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """All rows, a key's new row in place of its old one."""
+    """All rows, a key's new row in place of its old one; of several new rows of one key the first by its columns."""
     tagged = old.withColumn("_age", F.lit(0)).unionByName(new.withColumn("_age", F.lit(1)))
-    return tagged.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.col("_age").desc()))).where("_k = 1").drop("_age", "_k")
+    order = Window.partitionBy(key).orderBy(F.col("_age").desc(), *[F.col(c) for c in old.columns if c != key])
+    return tagged.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_age", "_k")
 
 
 def _upserted(s, d):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicon import STOPWORDS, sql_list
 from ..plans.graph import components
+from ..plans.quantile import quantile
 from ..plans.store import kept, written
 from ..sources import corpus as C
 from . import index as I
@@ -21,26 +22,30 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _query(spark, sf_dir, vec_id: int) -> list[float]:
-    return list(vectors(spark, sf_dir).where(F.col("vec_id") == vec_id).first()["v"])
+    """The vector of an id; none gives an empty query, which nothing is near."""
+    found = vectors(spark, sf_dir).where(F.col("vec_id") == vec_id).first()
+    return list(found["v"]) if found else []
 
 
 def search(rows: DataFrame, query: list[float], top: int = 10) -> DataFrame:
     """The rows nearest to one vector by cosine; filters on ``rows`` come before the cut."""
-    q = F.array(*[F.lit(x) for x in query])
-    return rows.withColumn("sim", F.round(T.cosine("v", q), 6)).orderBy(F.col("sim").desc(), "vec_id").limit(top).select("vec_id", "label", "sim")
+    q = F.array(*[F.lit(x) for x in query]).cast("array<double>")
+    return rows.where(F.lit(bool(query))).withColumn("sim", F.round(T.cosine("v", q), 6)).orderBy(F.col("sim").desc(), "vec_id").limit(top).select("vec_id", "label", "sim")
 
 
 def similar(spark: SparkSession, sf_dir: str, vec_id: int, top: int = 10, other_label: bool = False) -> DataFrame:
     rows = vectors(spark, sf_dir)
     own = rows.where(F.col("vec_id") == vec_id).first()
     rest = rows.where(F.col("vec_id") != vec_id)
+    if own is None:
+        return search(rest, [], top)
     return search(rest.where(F.col("label") != own["label"]) if other_label else rest, list(own["v"]), top)
 
 
 def shift(spark: SparkSession, sf_dir: str, query: list[float], top: int = 3) -> DataFrame:
     """The nearest rows of each bucket."""
-    q = F.array(*[F.lit(x) for x in query])
-    rows = vectors(spark, sf_dir).withColumn("sim", F.round(T.cosine("v", q), 6))
+    q = F.array(*[F.lit(x) for x in query]).cast("array<double>")
+    rows = vectors(spark, sf_dir).where(F.lit(bool(query))).withColumn("sim", F.round(T.cosine("v", q), 6))
     return rows.withColumn("k", F.row_number().over(Window.partitionBy("ord").orderBy(F.col("sim").desc(), "vec_id"))).where(F.col("k") <= top).select("ord", "k", "vec_id", "sim")
 
 
@@ -93,9 +98,10 @@ def assigned(spark: SparkSession, sf_dir: str, share: float = 0.1) -> DataFrame:
     """Topic -1 below the quantile of similarities."""
 
     def make():
-        near = nearest(spark, sf_dir)
-        floor_ = near.agg(F.percentile("sim", F.lit(share)).alias("cut"))
-        return near.crossJoin(F.broadcast(floor_)).select("vec_id", "ord", F.when(F.col("sim") < F.col("cut"), -1).otherwise(F.col("topic")).alias("topic"), F.round("sim", 6).alias("sim"))
+        near = kept(spark, sf_dir, "nearest_topic", lambda: nearest(spark, sf_dir))
+        cut = quantile(near, "sim", share)
+        low = F.col("sim") < F.lit(cut if cut is not None else 0.0)
+        return near.select("vec_id", "ord", F.when(low, -1).otherwise(F.col("topic")).alias("topic"), F.round("sim", 6).alias("sim"))
 
     return kept(spark, sf_dir, "assigned", make)
 
@@ -149,6 +155,31 @@ def topic_signals(spark: SparkSession, sf_dir: str, c: int = C.BUCKETS, z_least:
     )
 
 
+def topic_words(spark: SparkSession, sf_dir: str, top: int = 5) -> DataFrame:
+    """topic, word: the words that mark the talks of a topic most (as ``ctfidf``, single words); a vector is its talk's."""
+    of = assigned(spark, sf_dir).where("topic >= 0").select(F.col("vec_id").alias("talk_id"), "topic")
+    toks = C.talks(spark, sf_dir).join(of, "talk_id").select("topic", F.explode(T.words("text")).alias("word")).where(~F.col("word").isin(STOPWORDS))
+    tf = kept(spark, sf_dir, "topic_words", lambda: toks.groupBy("topic", "word").agg(F.count("*").alias("f")))
+    sizes = {r["topic"]: r["n"] for r in tf.groupBy("topic").agg(F.sum("f").alias("n")).collect()}  # as many as topics
+    mean = sum(sizes.values()) / max(len(sizes), 1)
+    size = F.try_element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, float(n))]), F.col("topic")) if sizes else F.lit(1.0)
+    both = tf.join(tf.groupBy("word").agg(F.sum("f").alias("all")), "word")
+    score = F.round(F.col("f") / size * F.log(1 + mean / F.col("all")), 9)
+    order = Window.partitionBy("topic").orderBy(score.desc(), "word")
+    return both.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top).select("topic", "word")
+
+
+def word_ratio(spark: SparkSession, sf_dir: str, c: int = C.BUCKETS) -> DataFrame:
+    """topic, word_ratio: rate of the topic's leading words in c over their rate in the ten buckets before, else 1."""
+    span = F.col("ord").between(c - 10, c)
+    now, before = F.col("ord") == c, F.col("ord") < c
+    total = I.ord_stats(spark, sf_dir).where(span).agg(F.sum(F.when(now, F.col("words"))), F.sum(F.when(before, F.col("words")))).first()
+    uses = I.term_ord(spark, sf_dir).where(span).select(F.col("term").alias("word"), "ord", "count")
+    sums = topic_words(spark, sf_dir).join(uses, "word", "left").groupBy("topic").agg(F.sum(F.when(now, F.col("count"))).alias("a"), F.sum(F.when(before, F.col("count"))).alias("b"))
+    ratio = (F.coalesce("a", F.lit(0)) / float(total[0] or 1)) / (F.col("b") / float(total[1] or 1))
+    return sums.select("topic", F.when(F.col("b") > 0, F.round(ratio, 2)).otherwise(1.0).alias("word_ratio"))
+
+
 def passages(spark: SparkSession, sf_dir: str, least: int = 60) -> DataFrame:
     """talk_id, seq, first_pos, last_pos, words, sha, text: paragraphs merged until ``least`` words; a short tail joins
     the passage before it. One fold over a talk's own paragraphs."""
@@ -302,7 +333,7 @@ QUERIES = {
     "t_cluster": lambda s, d: kmeans(s, d, 20),
     "t_centroids": lambda s, d: centroids(s, d).select("topic", "size", F.posexplode("centroid").alias("k", "x")).select("topic", "size", "k", F.round("x", 6).alias("x")),
     "t_nearest": lambda s, d: nearest(s, d).select("vec_id", "ord", "topic", F.round("sim", 6).alias("sim")),
-    "t_threshold": lambda s, d: nearest(s, d).agg(F.round(F.percentile("sim", F.lit(0.1)), 6).alias("cut")),
+    "t_threshold": lambda s, d: s.createDataFrame([(quantile(kept(s, d, "nearest_topic", lambda: nearest(s, d)), "sim", 0.1),)], "cut double").select(F.round("cut", 6).alias("cut")),
     "t_assign": assigned,
     "t_ctfidf": ctfidf,
     "t_fit": lambda s, d: centroids(s, d).select("topic", "size"),
@@ -315,7 +346,15 @@ _CT = f"""{C.SQL_TALKS}, k AS (SELECT grp, list_filter({C.sql_words('text')}, la
 g AS (SELECT grp, unnest(list_concat(toks, {C.sql_windows('toks', 2)})) AS term FROM k), tf0 AS (SELECT grp, term, count(*) AS f FROM g GROUP BY 1, 2),
 top AS (SELECT term, sum(f) AS total FROM tf0 GROUP BY 1 ORDER BY total DESC, term LIMIT 60000), tf AS (SELECT * FROM tf0 JOIN top USING (term)), z AS (SELECT grp, sum(f) AS size FROM tf GROUP BY 1),
 r AS (SELECT grp, term, round(f::DOUBLE / size * ln(1 + (SELECT avg(size) FROM z) / total), 9) AS score FROM tf JOIN z USING (grp)), rk AS (SELECT *, (row_number() OVER (PARTITION BY grp ORDER BY score DESC, term))::INT AS rank FROM r)"""
+SQL_RATIO = f"""tw AS (SELECT topic, unnest(list_filter({C.sql_words('text')}, lambda w: NOT list_contains([{sql_list(STOPWORDS)}], w))) AS word FROM talk JOIN asg ON vec_id = talk_id WHERE topic >= 0),
+ttf AS (SELECT topic, word, count(*) AS f FROM tw GROUP BY 1, 2), tz AS (SELECT topic, sum(f)::DOUBLE AS size FROM ttf GROUP BY 1), ta AS (SELECT word, sum(f)::DOUBLE AS total FROM ttf GROUP BY 1),
+tr AS (SELECT topic, word FROM ttf JOIN tz USING (topic) JOIN ta USING (word) QUALIFY row_number() OVER (PARTITION BY topic ORDER BY round(f / size * ln(1 + (SELECT avg(size) FROM tz) / total), 9) DESC, word) <= 5),
+tn AS (SELECT sum(words) FILTER (ord = {_c})::DOUBLE AS wn, sum(words) FILTER (ord BETWEEN {_c - 10} AND {_c - 1})::DOUBLE AS wb FROM ord_stats),
+tu AS (SELECT topic, coalesce(sum(count) FILTER (ord = {_c}), 0)::DOUBLE AS a, coalesce(sum(count) FILTER (ord BETWEEN {_c - 10} AND {_c - 1}), 0)::DOUBLE AS b FROM tr LEFT JOIN term_ord ON term = word GROUP BY 1),
+ratio AS (SELECT topic, CASE WHEN b > 0 THEN round((a / wn) / (b / wb), 2) ELSE 1 END::DOUBLE AS word_ratio FROM tu, tn)"""
+QUERIES["t_word_ratio"] = word_ratio
 ORACLES = {
+    "t_word_ratio": f"WITH {I.SQL_INDEX}, {_TOPIC}, {SQL_RATIO} SELECT * FROM ratio",
     "e_search": f"WITH {_V} SELECT vec_id, label, {_SIM} AS sim FROM v WHERE ord BETWEEN 5 AND 30 ORDER BY sim DESC, vec_id LIMIT 10",
     "e_similar": f"WITH {_V} SELECT vec_id, label, {_SIM} AS sim FROM v WHERE vec_id <> 7 AND label <> (SELECT label FROM v WHERE vec_id = 7) ORDER BY sim DESC, vec_id LIMIT 10",
     "e_cluster_summary": f"WITH {_TOPIC}, r AS (SELECT label, size, vec_id, round(list_cosine_similarity(v, centroid), 6) AS sim FROM v JOIN cen ON label = topic) SELECT label, size, (row_number() OVER w)::INT AS k, vec_id, sim FROM r WINDOW w AS (PARTITION BY label ORDER BY sim DESC, vec_id) QUALIFY row_number() OVER w <= 3",

@@ -14,9 +14,15 @@ def test_agrees(spark, name):
     same(QUERIES[name](spark, SMALL), ORACLES[name], SMALL)
 
 
+#: Queries without an oracle that find nothing in the smallest tables.
+EMPTY = {"guard_spoken", "guard_shared"}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SMALL).columns
+    """All rows are made; the second time they are the same."""
+    first, second = (sorted(map(repr, QUERIES[name](spark, SMALL).collect())) for _ in range(2))
+    assert first == second and (first or name in EMPTY)
 
 
 def test_entry(spark):

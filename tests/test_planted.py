@@ -32,6 +32,8 @@ def folder(spark, tmp_path_factory):
                 place("absentia", 1)
             if o == 40 and k in (10, 11):
                 place("singleton", 5)
+            if o == 40 and k < 3:
+                words += "bab one two sharedling three four five bib".split()
             rows.append(((o - 1) * 12 + k, " ".join(words) + ".", "en", "solo" if o == 40 and k >= 10 else f"s{k}", 0))
     path = str(tmp_path_factory.mktemp("planted"))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{path}/documents.parquet")
@@ -71,3 +73,34 @@ def test_the_future_is_hidden(spark, folder):
 def test_history(spark, folder):
     rows = {r["ord"]: r["count"] for r in I.phrase_history(spark, folder, "revivum").collect()}
     assert rows == {25: 4, 40: 4}
+
+
+@pytest.mark.parametrize("name", ["cls_new", "cls_revived", "cls_continuing", "cls_rising", "cls_fading", "cls_absent", "cls_burst", "cls_narrow", "lexical_signals_full", "guard_shared_rows"])
+def test_classes_agree_with_sql(spark, folder, name):
+    """Both engines find the planted terms: no class is empty here."""
+    import duckdb
+    from oracle import plain
+
+    if name == "guard_shared_rows":
+        # all four new users say "newling" in one passage: it is no new term then
+        kept = {r.term for r in S.reported(spark, folder, absent=False).where("cls = 'new'").collect()}
+        assert "newling" in kept and not {t for t in kept if t.startswith("shared")}
+        return
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
+    found = con.execute(S.ORACLES[name])
+    names = sorted(d[0] for d in found.description)
+    theirs = sorted(repr([plain(v) for _, v in sorted(zip([d[0] for d in found.description], r, strict=True))]) for r in found.fetchall())
+    df = S.QUERIES[name](spark, folder)
+    assert names == sorted(df.columns)
+    ours = sorted(repr([plain(r[c]) for c in names]) for r in df.collect())
+    assert ours == theirs and ours
+
+
+def test_spoken_and_marks(spark, folder):
+    """An absent term whose stem or a near spelling is said is not reported; struck-out terms go."""
+    asked = spark.createDataFrame([("newlings",), ("newlin",), ("absentia",), ("contina risewell",)], "term string")
+    assert {r.term for r in S.spoken(spark, folder, 40, asked).collect()} == {"newlings", "newlin"}
+    marks = spark.createDataFrame([("newling",)], "term string")
+    assert "newling" not in {r.term for r in S.lexical_signals(spark, folder, marks=marks, full=True).collect()}

@@ -235,6 +235,23 @@ def test_note_markers_are_no_text():
     assert p.paragraphs == ["say so, and on"] and p.links == ["#n1", "/y"]
 
 
+def test_headings_above_links(spark):
+    from tidemark.sources.pages import parsed
+
+    html = '<a href="/0">x</a><h1>Friday</h1><a href="/1">x</a><p><a href="/0">x</a></p><h2>Late <b>Friday</b></h2><ul><li><a href="/2">x</a></ul>'
+    pages = parsed(spark.createDataFrame([(1, "u", html), (2, "v", None)], "page_id long, url string, html string"))
+    found = [(r.i, r.link, r.session) for r in ingest.sessions(pages).orderBy("i").collect()]
+    assert found == [(0, "/0", ""), (1, "/1", "Friday"), (2, "/2", "Late Friday")]
+
+
+def test_cache_of_pages(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "a", "<p>x</p>"), (2, "b", ""), (3, "c", None)], "page_id long, url string, html string")
+    ingest.write_cache(pages, f"{tmp_path}/cache")
+    assert [tuple(r) for r in ingest.read_cache(spark, f"{tmp_path}/cache").collect()] == [(1, "a", "<p>x</p>")]
+    urls = spark.createDataFrame([("a",), ("b",), ("z",)], "url string")
+    assert [r.url for r in ingest.to_fetch(urls, spark, f"{tmp_path}/cache").collect()] == ["z"]
+
+
 def test_components(spark):
     from tidemark.plans.graph import components
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -156,9 +156,36 @@ def _parse_talk(s, d):
     return p.select("page_id", "title", kind_of(F.col("title"), F.col("url"), words).alias("kind"), F.size("paragraphs").alias("paragraphs"), F.size("links").alias("links"))
 
 
-def _historical(s, d):
-    """Distinct links of a page in order of first occurrence, with the heading above the page."""
-    return _pages(s, d).select("page_id", F.element_at(F.concat("headings", F.array(F.lit(""))), 1).alias("session"), F.posexplode(F.array_distinct("links")).alias("i", "link"))
+def sessions(pages: DataFrame) -> DataFrame:
+    """page_id, i, link, session: every different link of a page in the order of its first place, and the heading above it."""
+    met = pages.select("page_id", F.posexplode(F.arrays_zip("links", "above")).alias("at", "l"))
+    first = met.groupBy("page_id", F.col("l.links").alias("link")).agg(F.min(F.struct("at", F.col("l.above").alias("session"))).alias("f"))
+    order = Window.partitionBy("page_id").orderBy("f.at")
+    return first.select("page_id", (F.row_number().over(order) - 1).alias("i"), "link", F.col("f.session").alias("session"))
+
+
+def write_cache(pages: DataFrame, path: str) -> None:
+    """A cache of fetched pages: one JSON record each with url, status and body; an empty page is a tombstone (404)."""
+    gone = F.coalesce(F.col("html"), F.lit("")) == ""
+    pages.select("page_id", "url", F.when(gone, 404).otherwise(200).alias("status"), F.when(~gone, F.col("html")).alias("body")).write.json(path)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, url, body of the pages that the cache holds; tombstones and broken records are left out."""
+    cached = spark.read.schema("page_id long, url string, status int, body string").option("mode", "DROPMALFORMED").json(path)
+    return cached.where("status = 200 AND url IS NOT NULL").select("page_id", "url", "body")
+
+
+def to_fetch(urls: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """url of those that the cache has no record of, tombstones included."""
+    cached = spark.read.schema("url string").json(path).select("url")
+    return urls.select("url").distinct().join(cached, "url", "left_anti")
+
+
+def _cached(s, d):
+    path = f"{shared_dir(s)}/tidemark-{uuid.uuid4().hex}/cache"
+    write_cache(C.table(s, d, "pages"), path)
+    return read_cache(s, path).select("page_id", "url", F.length("body").alias("size"))
 
 
 QUERIES = {
@@ -170,7 +197,8 @@ QUERIES = {
     "src_incremental": lambda s, d: append_new(_half(s, d, False), _half(s, d, True)),
     "src_html_clean": lambda s, d: _pages(s, d).select("page_id", F.explode("paragraphs").alias("para")),
     "src_parse_ref": lambda s, d: _links(s, d).select("href", parse_ref(F.col("href")).alias("r")).select("href", "r.*"),
-    "src_sessions": lambda s, d: _pages(s, d).select("page_id", F.posexplode("headings").alias("i", "heading")),
+    "src_sessions": lambda s, d: _pages(s, d).select("page_id", F.posexplode(F.arrays_zip("links", "above")).alias("i", "l")).select("page_id", "i", F.col("l.links").alias("link"), F.col("l.above").alias("session")),
+    "src_api_fetch": _cached,
     "src_parse_talk": _parse_talk,
     "src_talk_kind": lambda s, d: C.talks(s, d).select("talk_id", kind_of(F.col("title"), F.col("speaker"), F.size(T.words("text"))).alias("kind")),
     "src_load_rows": lambda s, d: replace_rows(C.talks(s, d).select("talk_id", "ord", "speaker"), C.talks(s, d).where("ord = 40").select("talk_id", "ord", F.upper("speaker").alias("speaker")), ["ord"]),
@@ -179,7 +207,7 @@ QUERIES = {
     "src_speaker": lambda s, d: _rows(s, NAMES, "raw").select(clean_name(F.col("raw")).alias("name"), name_key(F.col("raw")).alias("key"), "raw").groupBy("key").agg(F.min("name").alias("name"), F.count("*").alias("aliases")),
     "src_group": lambda s, d: _rows(s, ROLES, "role").select("role", group_of(F.col("role")).alias("grp")),
     "src_scribe": turns,
-    "src_historical": _historical,
+    "src_historical": lambda s, d: sessions(_pages(s, d)),
     "src_reconcile": lambda s, d: reconcile(C.talks(s, d).where("ord <> 7 AND talk_id % 3 <> 0"), C.talks(s, d).where("ord <> 9 AND talk_id % 2 = 0")),
     "src_conf_dim": lambda s, d: C.talks(s, d).select("ord", "year", F.when(F.col("ord") % 2 == 1, 4).otherwise(10).alias("month")).distinct().select(F.format_string("%d-%02d", "year", "month").alias("conf_id"), "ord", "year", "month"),
     "src_talk_scan": lambda s, d: C.paragraphs(C.addresses(s, d)).groupBy("talk_id").agg(F.count("*").alias("paras"), F.min("ord").alias("ord")),
@@ -192,6 +220,7 @@ _values = lambda vs: ", ".join("('" + v.replace("'", "''") + "')" for v in vs)
 _CANON, _TALK = "^/scriptures/([^/]+)/([^/]+)(?:/([0-9]+))?$", "^/general-conference/[0-9]{4}/[0-9]{2}/([^/]+)$"
 ORACLES = {
     "src_calendar": "SELECT strftime(m, '%Y-%m') AS conf_id FROM range(DATE '1971-01-01', DATE '1991-01-01', INTERVAL 1 MONTH) r(m) WHERE month(m) IN (4, 10) AND m >= DATE '1971-01-15' AND m <= DATE '1990-12-31'",
+    "src_api_fetch": "SELECT page_id, url, length(html)::INT AS size FROM pages WHERE coalesce(html, '') <> '' AND url IS NOT NULL",
     "src_scrape_conf": "SELECT page_id, url FROM pages WHERE html IS NOT NULL AND html <> ''",
     "src_incremental": f"WITH {C.SQL_TALKS} SELECT talk_id AS href, speaker FROM talk WHERE talk_id % 2 = 0 OR talk_id % 3 <> 0",
     "src_parse_ref": f"""WITH l(href) AS (SELECT * FROM (VALUES {_values(LINKS)}) UNION SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) FROM pages), p AS (SELECT href, {_REF} AS path, url_decode(regexp_extract(replace(href, '&amp;', '&'), '[?&]id=([^&#]*)', 1)) AS ids FROM l),

@@ -17,6 +17,7 @@ class Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.title, self.lang, self.links, self.paragraphs, self.headings = "", "", [], [], []
+        self.above: list[str] = []  # the heading above each link
         self._skip, self._note, self._open, self._text = 0, False, "", []
 
     def handle_starttag(self, tag, attrs):
@@ -25,6 +26,7 @@ class Page(HTMLParser):
             self.lang = found.get("lang") or ""
         if tag == "a" and found.get("href"):
             self.links.append(found["href"])
+            self.above.append(self.headings[-1] if self.headings else "")
         if tag in _SKIP:
             self._skip += 1
         elif tag == "a":
@@ -73,13 +75,14 @@ def parse(html: str | None) -> Page:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, title, lang, headings, paragraphs, links."""
+    """page_id, url, title, lang, headings, paragraphs, links, above (the heading above each link)."""
 
     def made(batches):
         for pdf in batches:
             found = [parse(h) for h in pdf["html"]]
             yield pdf[["page_id", "url"]].assign(
-                title=[p.title for p in found], lang=[p.lang for p in found], headings=[p.headings for p in found], paragraphs=[p.paragraphs for p in found], links=[p.links for p in found]
-            )
+                title=[p.title for p in found], lang=[p.lang for p in found], headings=[p.headings for p in found], paragraphs=[p.paragraphs for p in found], links=[p.links for p in found],
+                above=[p.above for p in found],
+            )
 
-    return pages.select("page_id", "url", "html").mapInPandas(made, "page_id long, url string, title string, lang string, headings array<string>, paragraphs array<string>, links array<string>")
+    return pages.select("page_id", "url", "html").mapInPandas(made, "page_id long, url string, title string, lang string, headings array<string>, paragraphs array<string>, links array<string>, above array<string>")

@@ -23,13 +23,19 @@ told AS (SELECT word, who, CASE WHEN who THEN cap OR NOT known
 
 VOCABULARY_WORDS = "SELECT DISTINCT regexp_replace(word, '''s$', '') AS word FROM voc"
 
-#: rejected: term; after the classes.
-REJECTED = f"""tk AS (SELECT term, t, regexp_replace(t, '''s$', '') AS word FROM (SELECT term, unnest(string_split(term, ' ')) AS t FROM (SELECT DISTINCT term FROM ranked))),
+def rejected(terms: str) -> str:
+    """rejected: term, of the terms that the query ``terms`` gives."""
+    own = f"SELECT term, unnest(string_split(term, ' ')) AS t FROM ({terms}) AS asked"
+    return f"""tk AS (SELECT term, t, regexp_replace(t, '''s$', '') AS word FROM ({own}) AS toks),
 {names("SELECT DISTINCT word FROM tk")},
 rejected AS (SELECT term FROM tk JOIN told USING (word) GROUP BY 1
   HAVING bool_or(length(t) = 1 OR t IN ({sql_list(HONORIFICS)}) OR name) OR (bool_or(t IN ({sql_list(TITLES)})) AND bool_or(who)))"""
 
 
+#: After the classes.
+REJECTED = rejected("SELECT DISTINCT term FROM ranked")
+
+
 def _fragments(weight: str) -> str:
     sub = "unnest([array_to_string(string_split(term, ' ')[:-2], ' '), array_to_string(string_split(term, ' ')[2:], ' ')])"
     best = f"SELECT term, max(w) AS best FROM (SELECT {weight} AS w, {sub} AS term FROM cls WHERE {weight} > 0 AND contains(term, ' ')) GROUP BY 1"

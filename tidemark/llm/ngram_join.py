@@ -35,14 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.graph import components
-from .common import durable, fresh, id_column, int_ids, release, shingle_sets, slices, small_batches
+from .common import durable, fresh, id_column, int_ids, release, shingle_sets, slices, small_batches, split_join, trimmed
 
 WIDTH = 5
 PERCENT = 75
 #: Shingles to a fragment, about: 16 MB of hashes and as much again to sort them.
 FRAGMENT = 2_000_000
+#: Parts of a fragment while all classes' shingles are counted: small groups fill the tasks evenly.
+PARTS = 4
 #: Fragments at least; rounds of leaders before the remaining pairs.
-LEAST_FRAGMENTS = 24
+LEAST_FRAGMENTS = 12
 ROUNDS = 3
 #: Survivor ids up to which they are sent to every executor (8 bytes each); beyond it a join shuffles the texts once.
 MOST_SENT = 4_000_000
@@ -70,7 +72,7 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     ["doc_id", "text_key", "n_shingles", "class_id"],
                 )
 
-    return _keyed(docs).mapInArrow(made, "doc_id long, text_key long, n_shingles long, class_id long")
+    return _keyed(docs).mapInArrow(trimmed(made), "doc_id long, text_key long, n_shingles long, class_id long")
 
 
 def _fragments(pairs, count: int, combine: bool = False):
@@ -171,7 +173,9 @@ def survivors(docs: DataFrame, known: DataFrame, fragments: int, width: int = WI
                 if rows is not None:
                     yield rows
 
-    shared = docs.select("text").mapInArrow(packed, _PACKED).groupBy("fragment").applyInArrow(_count_shared, "class_id long, shared long").groupBy("class_id").agg(F.sum("shared").alias("shared"))
+    # tasks in proportion to the fragments, so that no task's input grows with the table
+    spread = docs.select("text").mapInArrow(trimmed(packed), _PACKED).repartition(-(-fragments // PARTS), "fragment")
+    shared = spread.groupBy("fragment").applyInArrow(_count_shared, "class_id long, shared long").groupBy("class_id").agg(F.sum("shared").alias("shared"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key"))
     sizes = known.where("class_id IS NOT NULL").groupBy("class_id").agg(F.max("n_shingles").alias("n"), first.alias("r"))
     enough = sizes.join(shared, "class_id").where(F.col("shared") * 100 >= F.col("n") * percent)
@@ -191,7 +195,7 @@ def _sets_of(docs: DataFrame, alive: DataFrame, sent: bool, fragments: int, widt
                 if rows is not None:
                     yield rows
 
-    return own.select("text").mapInArrow(packed, _PACKED)
+    return own.select("text").mapInArrow(trimmed(packed), _PACKED)
 
 
 def _homes(sets: DataFrame) -> DataFrame:
@@ -203,10 +207,10 @@ def _homes(sets: DataFrame) -> DataFrame:
                 own = np.frombuffer(keys, np.int64)
                 yield pa.record_batch([pa.array(own), pa.array(np.full(len(own), fragment, np.int32))], ["b", "fragment"])
 
-    return sets.select("fragment", "keys").mapInArrow(listed, "b long, fragment int").groupBy("b").agg(F.collect_set("fragment").alias("fragments"))
+    return sets.select("fragment", "keys").mapInArrow(trimmed(listed), "b long, fragment int").groupBy("b").agg(F.collect_set("fragment").alias("fragments"))
 
 
-def _postings(sets: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
+def _postings(sets: DataFrame, alive: DataFrame, fragments: int, percent: int) -> DataFrame:
     """hash, class_id, n, place of every prefix entry that another class has too; place counts from 0 in the order."""
 
     def frequent(group: pa.Table) -> pa.Table:
@@ -234,11 +238,11 @@ def _postings(sets: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
             if out[0]:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], ["hash", "class_id", "n", "place"])
 
-    entries = sets.groupBy("fragment").applyInArrow(frequent, "class_id long, entries binary")
-    return entries.groupBy("class_id").agg(F.collect_list("entries").alias("lists")).join(alive.select("class_id", "n"), "class_id").mapInArrow(prefix, "hash long, class_id long, n long, place long")
+    entries = sets.repartition(fragments, "fragment").groupBy("fragment").applyInArrow(frequent, "class_id long, entries binary")
+    return entries.groupBy("class_id").agg(F.collect_list("entries").alias("lists")).join(alive.select("class_id", "n"), "class_id").mapInArrow(trimmed(prefix), "hash long, class_id long, n long, place long")
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame, homes: DataFrame) -> DataFrame:
+def _overlaps(pairs: DataFrame, sets: DataFrame, homes: DataFrame, fragments: int) -> DataFrame:
     """a, b, overlap of each pair: partial overlaps by fragment, summed. A pair is sent to the fragments of its class b."""
 
     def partial(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -272,14 +276,15 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, homes: DataFrame) -> DataFrame:
         return pa.table({"a": a[some], "b": b[some], "overlap": counts[some]})
 
     spread = pairs.select("a", "b").join(homes, "b").select("a", "b", F.explode("fragments").alias("fragment"))
-    found = spread.groupBy("fragment").cogroup(sets.groupBy("fragment")).applyInArrow(partial, "a long, b long, overlap long")
+    dealt = [df.repartition(fragments, "fragment").groupBy("fragment") for df in (spread, sets)]
+    found = dealt[0].cogroup(dealt[1]).applyInArrow(partial, "a long, b long, overlap long")
     return found.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, homes: DataFrame, percent: int, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, homes: DataFrame, fragments: int, percent: int, name: str) -> DataFrame:
     """The pairs (a, b, n_a, n_b, any more columns) whose sets reach the threshold."""
     pairs = durable(pairs, f"{name}_pairs")
-    found = pairs.join(_overlaps(pairs, sets, homes), ["a", "b"])
+    found = pairs.join(_overlaps(pairs, sets, homes, fragments), ["a", "b"])
     union = F.col("n_a") + F.col("n_b") - F.col("overlap")
     return durable(found.where(F.col("overlap") * 100 >= union * percent), f"{name}_links")
 
@@ -289,10 +294,10 @@ def _groups(docs: DataFrame, alive: DataFrame, width: int, percent: int) -> Data
     count = alive.agg(F.count("*").alias("c"), F.sum("n").alias("s")).first()
     if not count.c:
         return None
-    fragments = max(12, -(-count.s // FRAGMENT))
+    fragments = max(LEAST_FRAGMENTS, -(-count.s // FRAGMENT))
     sets = durable(_sets_of(docs, alive, count.c <= MOST_SENT, fragments, width), "join_sets")
     homes = durable(_homes(sets), "join_homes")
-    postings = durable(_postings(sets, alive, percent), "join_postings")
+    postings = durable(_postings(sets, alive, fragments, percent), "join_postings")
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
     own = durable(postings.join(alive.select("class_id", "rep"), "class_id").withColumn("root", F.col("class_id")), "join_own")
@@ -303,7 +308,7 @@ def _groups(docs: DataFrame, alive: DataFrame, width: int, percent: int) -> Data
         led = met.groupBy("class_id", "lead").agg(F.count("*").alias("c"), F.first("n_b").alias("n_b"), F.first("root_b").alias("root_b"))
         first = led.groupBy("class_id").agg(F.max(F.struct("c", "lead")).alias("x"), F.first("n_b").alias("n_b"), F.first("root_b").alias("root_b")).withColumn("lead", F.col("x.lead"))
         first = first.select(F.col("lead.class_id").alias("a"), F.col("class_id").alias("b"), F.col("lead.n").alias("n_a"), "n_b", F.col("lead.root").alias("root_a"), "root_b")
-        new = _verified(first, sets, homes, percent, f"join_step_{step}").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        new = _verified(first, sets, homes, fragments, percent, f"join_step_{step}").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
         own = _merged(own, new, f"join_merge_{step}")
 
     mixed = own.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hash")
@@ -315,7 +320,7 @@ def _groups(docs: DataFrame, alive: DataFrame, width: int, percent: int) -> Data
     room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
     once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
     rest = small.join(large, "hash").where((F.col("root_a") != F.col("root_b")) & once & near & room).groupBy("a", "b").agg(*(F.first(c).alias(c) for c in ("n_a", "n_b", "root_a", "root_b")))
-    new = _verified(rest, sets, homes, percent, "join_rest").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    new = _verified(rest, sets, homes, fragments, percent, "join_rest").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     return _merged(own, new, "join_merge_last").select("class_id", "root").distinct()
 
 
@@ -324,7 +329,7 @@ def _merged(own: DataFrame, links: DataFrame, name: str) -> DataFrame:
     if links.isEmpty():
         return own
     to = components(links, name).select(F.col("node").alias("root"), F.col("root").alias("to"))
-    return durable(own.join(to, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to").select(own.columns), f"{name}_own")
+    return durable(split_join(own, to, "root", f"{name}_hot", "left").withColumn("root", F.coalesce("to", "root")).drop("to").select(own.columns), f"{name}_own")
 
 
 def _decided(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -332,15 +337,16 @@ def _decided(docs: DataFrame, width: int, percent: int) -> DataFrame:
     small_batches(docs.sparkSession)
     known = durable(classes(docs, width), "join_classes")
     total = known.agg(F.sum("n_shingles").alias("s")).first().s or 0
-    alive = durable(survivors(docs, known, max(LEAST_FRAGMENTS, -(-total // FRAGMENT)), width, percent), "join_alive")
+    alive = durable(survivors(docs, known, PARTS * max(LEAST_FRAGMENTS, -(-total // FRAGMENT)), width, percent), "join_alive")
     roots = _groups(docs, alive, width, percent)
     own = known.groupBy("class_id").agg(F.min("doc_id").alias("least")).where("class_id IS NOT NULL")
     if roots is not None:
         own = own.join(roots, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
-        own = own.join(own.groupBy("root").agg(F.min("least").alias("component")), "root").select("class_id", "root", "component")
+        own = durable(own, "join_least")
+        own = split_join(own, own.groupBy("root").agg(F.min("least").alias("component")), "root", "join_hot_roots").select("class_id", "root", "component")
     else:
         own = own.select("class_id", F.col("class_id").alias("root"), F.col("least").alias("component"))
-    return known.join(own, "class_id", "left")
+    return split_join(known, own, "class_id", "join_hot_classes", "left")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_column, int_ids, slices, small_batches
-from .units import encoder
+from .common import NULL_ID, id_column, int_ids, slices, small_batches, trimmed
+from .units import REST, encoder
 
 SIZE = 1024
 END = 2
@@ -51,7 +51,9 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> Data
                 row, piece, start, length, crc = (np.array(x, np.int64) for x in zip(*rows, strict=True))
                 yield pa.record_batch([id_column(keys[row]), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(made, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        coder.shrink(REST)
+
+    return docs.select("doc_id", "text").mapInArrow(trimmed(made), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def place(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

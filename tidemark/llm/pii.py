@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, whole_or_pieces
+from .common import slices, small_batches, trimmed, whole_or_pieces
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
@@ -390,7 +390,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
                     ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(searched, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(searched), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def masked(text: str, spans: list) -> str:
@@ -416,5 +416,5 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
                 texts = [masked(t, s) if s else t for t, s in zip(texts, every, strict=True)]
                 yield part.set_column(part.schema.get_field_index("text"), part.schema.field("text"), pa.array(texts, part.schema.field("text").type))
 
-    out = docs.mapInArrow(replaced, docs.schema)
+    out = docs.mapInArrow(trimmed(replaced), docs.schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, id_column, int_ids, slices, small_batches
-from .units import encoder
+from .common import durable, id_column, int_ids, slices, small_batches, trimmed
+from .units import REST, encoder
 
 MAGIC = b"TMDC"
 STEP = 512
@@ -152,8 +152,9 @@ def write_files(docs: DataFrame, path: str, end: int = END, blank: bool = False,
                         keys, ids, sizes, docs_, total, seq = [], [], [], 0, 0, seq + 1
         if docs_:
             yield out()
+        coder.shrink(REST)
 
-    return sorted_.withColumn("part", F.spark_partition_id()).select("part", "doc_id", "text").mapInArrow(built, "part int, seq int, tokens long, image binary")
+    return sorted_.withColumn("part", F.spark_partition_id()).select("part", "doc_id", "text").mapInArrow(trimmed(built), "part int, seq int, tokens long, image binary")
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -172,7 +173,7 @@ def read_files(files: DataFrame) -> DataFrame:
                     ["doc_id", "part", "seq", "place", "n_tokens", "ids_crc32"],
                 )
 
-    return files.select("part", "seq", "image").mapInArrow(read, "doc_id long, part int, seq int, place long, n_tokens long, ids_crc32 long")
+    return files.select("part", "seq", "image").mapInArrow(trimmed(read), "doc_id long, part int, seq int, place long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, path: str, end: int = END, blank: bool = False) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_LETTERS, id_column, int_ids, release, slices, small_batches, text_buffer, whole_or_pieces, word_hashes, word_spans
+from .common import NOT_LETTERS, id_column, int_ids, release, slices, small_batches, text_buffer, trimmed, whole_or_pieces, word_hashes, word_spans
 
 BUCKETS = 1 << 20
 MOST_ROWS = 1 << 13
@@ -287,7 +287,7 @@ def logit_counts(docs: DataFrame, known: DataFrame, model: Classifier, fitted: n
                 learnt = pa.compute.is_in(ids, value_set=pa.array(learned, pa.int64()))
                 yield pa.record_batch([ids, pa.array(languages(words, first).astype(np.int32)), learnt, pa.array(z.astype(np.int32))], ["doc_id", "lang", "fitted", "bin"])
 
-    made = docs.select("doc_id", "text").mapInArrow(binned, "doc_id long, lang int, fitted boolean, bin int")
+    made = docs.select("doc_id", "text").mapInArrow(trimmed(binned), "doc_id long, lang int, fitted boolean, bin int")
     out = np.zeros((len(_LANGS) + 1, 2, 2, bins), np.int64)
     for r in made.join(known, "doc_id").groupBy("lang", "toxic", "fitted", "bin").count().collect():
         out[r["lang"], int(r["toxic"]), int(r["fitted"]), r["bin"]] = r["count"]
@@ -343,7 +343,7 @@ def score(docs: DataFrame, model: Classifier, parts: int = 5) -> DataFrame:
             for part in slices(batch, "text"):
                 yield pa.record_batch([id_column(int_ids(part.column("doc_id"))), pa.array(own.scores(part.column("text")))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double").select(
+    return docs.select("doc_id", "text").mapInArrow(trimmed(scored), "doc_id long, score double").select(
         "doc_id", F.coalesce(remainder(F.col("doc_id"), parts) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
@@ -361,4 +361,4 @@ def keep_clean(docs: DataFrame, model: Classifier) -> DataFrame:
             for part in slices(batch, "text"):
                 yield part.filter(pa.array(own.scores(part.column("text")) < 0.5))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(trimmed(kept), docs.schema)

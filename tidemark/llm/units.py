@@ -43,7 +43,7 @@ def _spread(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class UnitEncoder:
     """``most``: units kept between batches; ``longest``: mean characters a unit beyond which a text isn't cut."""
 
-    def __init__(self, path: str, blank: bool, most: int = 300_000, longest: int = 400):
+    def __init__(self, path: str, blank: bool, most: int = 200_000, longest: int = 400):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -55,11 +55,11 @@ class UnitEncoder:
         self.bad, self.mark, self.tail = (np.zeros(0, bool) for _ in range(3))
         self.uses = np.zeros(0, np.int64)
 
-    def _trim(self) -> None:
-        """Forget the units that were met once, and the rarer ones of the rest beyond half of what is kept."""
+    def shrink(self, most: int) -> None:
+        """Forget the units that were met once, and the rarer ones of the rest beyond ``most``."""
         keep = np.flatnonzero(self.uses > 1)
-        if len(keep) > self.most // 2:
-            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: self.most // 2]])
+        if len(keep) > most:
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[:most]])
         names, self.units = list(self.units), _Units()
         self.units.update(zip(map(names.__getitem__, keep.tolist()), range(len(keep)), strict=True))
         sizes = self.at[keep + 1] - self.at[keep]
@@ -111,7 +111,7 @@ class UnitEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
         if len(self.units) > self.most:
-            self._trim()
+            self.shrink(self.most // 2)
         direct, pieces, counts = set(), [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if not text:
@@ -159,6 +159,10 @@ class UnitEncoder:
         return ids, at
 
 
+#: Units that a worker keeps from one task to the next.
+REST = 50_000
+
+
 def encoder(path: str, blank: bool) -> UnitEncoder:
     """The worker's own encoder for a vocabulary file. ``blank``: units keep their leading blank (byte-level)."""
     if (path, blank) not in _ENCODERS:

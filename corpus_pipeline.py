@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept and returns a DataFrame; all but
 the last return the columns of ``documents``. Null and empty texts, repeated rows, extra columns and empty tables are
-handled as the operators' docstrings define.
+handled as the operators' docstrings define; extra columns of ``documents`` are left out by the first stage.
 """
 
 from __future__ import annotations

@@ -480,6 +480,33 @@ def test_combined_entries_keep_every_survivor():
     assert {k: got.get(k, 0) for k in sets} == {k: sum(len(holders[h]) > 1 for h in s.tolist()) for k, s in sets.items()}
 
 
+def test_join_counts_travel_in_proportion(spark):
+    """The first count sends one record a task and range of classes, nothing of classes that share little, and drops no link."""
+    rng = np.random.default_rng(11)
+    sets = {k: np.unique(rng.integers(0, 2**64 - 1, 60, np.uint64, True)) for k in range(1, 300)}
+    for k in range(1, 60, 2):  # near copies
+        sets[k + 1] = np.unique(np.append(sets[k][:-6], sets[k + 1][:6]))
+    for k in range(100, 300, 2):  # a common passage
+        sets[k] = np.unique(np.append(sets[k][:-8], sets[101][:8]))
+    holders = {}
+    for k, s in sets.items():
+        for h in s.tolist():
+            holders.setdefault(h, set()).add(k)
+    true = {k: sum(len(holders[h]) > 1 for h in s.tolist()) for k, s in sets.items()}
+    for slice_ in (50, 300):  # the common passage in several slices, then in one
+        made = [ngram_join._fragments([(k, sets[k]) for k in range(a, min(a + slice_, 300))], 64, True) for a in range(1, 300, slice_)]
+        rows_ = pa.Table.from_batches(made).sort_by("fragment")
+        cut = rows_.column("fragment").to_numpy() % 4
+        told = [b for task in range(4) for b in ngram_join._counted(2, 75)(rows_.filter(pa.array(cut == task)).to_batches(7))]
+        assert sum(b.num_rows for b in told) <= 4 * 2
+        assert sum(len(x) for b in told for x in b.column("keys").to_pylist()) // 8 < 4 * 100
+        (found,) = ngram_join._sums(told)
+        most = {r["class_id"]: 200 * r["shared"] + 75 * max(0, len(sets[r["class_id"]]) - r["seen"]) for r in found.to_pylist()}
+        assert all(most.get(k, 75 * len(sets[k])) >= 200 * true[k] for k in sets)
+        kept = {k for k, m in most.items() if m >= 150 * len(sets[k])}
+        assert {k for k in sets if 100 * true[k] >= 75 * len(sets[k])} <= kept <= {k for k in sets if 100 * true[k] >= 50 * len(sets[k])}
+
+
 def test_pii_messages_equal_enumeration():
     """On forests exactly; with a loop, the strongest labels of well-separated nodes."""
     rng = np.random.default_rng(11)

@@ -3,11 +3,13 @@
 A document's set is its distinct 5-word shingles (64-bit hashes). Two sets link at Jaccard 0.75 or more.
 
 1. Equal sets are one class, known by a digest of the set; everything after works on classes.
-2. The shingle order is cut into fragments by hash range. Each fragment counts, per class, its shingles that another
-   class has too; the partial counts are summed per class. A class that shares less than 75 % of its shingles with all
-   others together can't link with any, so only the rest, the survivors, go on. A shingle that several classes of one
-   slice of texts have is counted there at once and goes on as a single entry, however many have it. (A class that
-   stands in several slices may be counted more than once; that lets a few more survive and drops none.)
+2. The shingle order is cut into fragments by hash range. Each task counts, per class, the shingles in its fragments that
+   another class has too. A class that shares less than 75 % of its shingles with all others together can't link with
+   any, so only the rest, the survivors, go on. A class with less than half of that share in a task is not told of; what
+   the tasks that don't tell hold of it counts as shared by half of that share, which is more than there is: some more
+   survive, none is dropped. Counts travel packed, one record a task and range of class keys. A shingle that several
+   classes of one slice of texts have is counted there at once and goes on as a single entry, however many have it. (A
+   class that stands in several slices may be counted more than once; that too only lets a few more survive.)
 3. Among survivors the order is by frequency, rarest first; a link must share a shingle of either side's prefix (the
    first n - ceil(0.75 n) + 1 in that order). Classes that share a prefix shingle are candidates.
 4. Candidates are verified fragment by fragment: a pair goes to the fragments that its second class has shingles in,
@@ -46,6 +48,10 @@ PARTS = 4
 #: Fragments at least; rounds of leaders before the remaining pairs.
 LEAST_FRAGMENTS = 12
 ROUNDS = 3
+#: Classes to a range of keys, about, whose counts one task sums; ranges at least; entries that a task holds unsummed.
+RANGE = 250_000
+LEAST_RANGES = 8
+HELD = 1_000_000
 #: Survivor ids up to which they are sent to every executor (8 bytes each); beyond it a join shuffles the texts once.
 MOST_SENT = 4_000_000
 
@@ -132,8 +138,8 @@ def _unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.concatenate(keys), np.concatenate(sizes)), np.concatenate(hashes)
 
 
-def _shared(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, hash, owners of that hash) of the distinct entries whose hash has two owners or more."""
+def _shared(owner: np.ndarray, hashes: np.ndarray, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, hash, owners of that hash) of the distinct entries whose hash has two entries, and ``least`` owners or more."""
     order = np.argsort(hashes)
     hashes, owner = hashes[order], owner[order]
     begin = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
@@ -147,20 +153,101 @@ def _shared(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     begin = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, len(hashes)))
     size = np.repeat(size, size)
-    return owner[size > 1], hashes[size > 1], size[size > 1]
+    return owner[size >= least], hashes[size >= least], size[size >= least]
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+    """One part (keys, shared, seen): the sums by key."""
+    keys, *counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    keys, place = np.unique(keys, return_inverse=True)
+    return [(keys, *(np.bincount(place, c, len(keys)).astype(np.int64) for c in counts))]
 
 
 def _count_shared(group: pa.Table) -> pa.Table:
+    """class_id, shared, seen of a fragment: distinct shingles that another class has too, and all of them."""
     if group.column("fragment")[0].as_py() < 0:
         owner, counts = (np.concatenate([np.frombuffer(x, kind) for x in group.column(c).to_pylist()]) for c, kind in (("keys", np.int64), ("sizes", np.int32)))
-        keys, place = np.unique(owner, return_inverse=True)
-        counts = np.bincount(place, counts, len(keys))
+        ((keys, shared, seen),) = _summed([(owner, counts, counts)])
     else:
-        owner, _, _ = _shared(*_unpacked(group))
-        keys, counts = np.unique(owner[owner != MANY], return_counts=True)
-    del owner
-    release()
-    return pa.table({"class_id": keys, "shared": counts.astype(np.int64)})
+        owner, sizes, hashes = (np.concatenate([np.frombuffer(x, kind) for x in group.column(c).to_pylist()]) for c, kind in (("keys", np.int64), ("sizes", np.int32), ("hashes", np.uint64)))
+        keys, place = np.unique(owner, return_inverse=True)
+        place = np.repeat(place, sizes)
+        order = np.argsort(hashes)
+        hashes, place = hashes[order], place[order]
+        size = np.diff(np.append(np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])), len(hashes)))
+        many = np.repeat(size > 1, size)
+        both, alone = _shared(place[many], hashes[many], 1), place[~many]
+        seen = np.bincount(alone, minlength=len(keys)) + np.bincount(both[0], minlength=len(keys))
+        shared = np.bincount(both[0][both[2] > 1], minlength=len(keys))
+        own = keys != MANY
+        keys, shared, seen = keys[own], shared[own], seen[own]
+    return pa.table({"class_id": keys, "shared": shared.astype(np.int64), "seen": seen.astype(np.int64)})
+
+
+def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    return ((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+
+
+def _counted(ranges: int, percent: int):
+    """Packed counts (part, keys, shared, seen) of a task's fragments, which come sorted; what is shared by less than half
+    of ``percent`` stays out. One record a range of class keys, more where many entries were held."""
+
+    def told(held: list) -> pa.RecordBatch:
+        ((keys, shared, seen),) = _summed(held)
+        enough = shared * 200 >= seen * percent
+        keys, shared, seen = keys[enough], shared[enough], seen[enough]
+        part = _range_of(keys, ranges)
+        order = np.argsort(part, kind="stable")
+        part, columns = part[order], (keys[order], shared[order].astype(np.int32), seen[order].astype(np.int32))
+        cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() + [len(part)] if len(part) else []
+        blobs = [pa.array([c[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()) for c in columns]
+        return pa.record_batch([pa.array(part[cut[:-1]], pa.int32()), *blobs], ["part", "keys", "shared", "seen"])
+
+    def run(batches):
+        rows, fragment, held, size = [], None, [], 0
+
+        def count():
+            found = _count_shared(pa.Table.from_batches(rows))
+            held.append(tuple(found.column(c).to_numpy() for c in ("class_id", "shared", "seen")))
+            return len(held[-1][0])
+
+        for batch in batches:
+            named = batch.column("fragment").to_numpy()
+            cut = np.flatnonzero(np.append(True, named[1:] != named[:-1])).tolist() + [len(named)] if len(named) else []
+            for a, b in zip(cut, cut[1:], strict=False):
+                if rows and named[a] != fragment:
+                    size += count()
+                    rows = []
+                    if size > HELD:
+                        held = _summed(held)
+                        size = len(held[0][0])
+                        if size > HELD // 2:
+                            yield told(held)
+                            held, size = [], 0
+                        release()
+                rows.append(batch.slice(a, b - a))
+                fragment = named[a]
+        if rows:
+            count()
+        if held:
+            yield told(held)
+
+    return run
+
+
+def _sums(batches):
+    """class_id, shared, seen: the packed counts of a task's ranges, summed by class."""
+    held, size = [], 0
+    for batch in batches:
+        columns = [(batch.column(c).to_pylist(), kind) for c, kind in (("keys", np.int64), ("shared", np.int32), ("seen", np.int32))]
+        held.append(tuple(np.concatenate([np.frombuffer(x, kind) for x in blobs] or [np.zeros(0, kind)]) for blobs, kind in columns))
+        size += len(held[-1][0])
+        if size > HELD:
+            held = _summed(held)
+            size = len(held[0][0])
+    if held:
+        ((keys, shared, seen),) = _summed(held)
+        yield pa.record_batch([pa.array(keys), pa.array(shared), pa.array(seen)], ["class_id", "shared", "seen"])
 
 
 def survivors(docs: DataFrame, known: DataFrame, fragments: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -173,12 +260,15 @@ def survivors(docs: DataFrame, known: DataFrame, fragments: int, width: int = WI
                 if rows is not None:
                     yield rows
 
-    # tasks in proportion to the fragments, so that no task's input grows with the table
-    spread = docs.select("text").mapInArrow(trimmed(packed), _PACKED).repartition(-(-fragments // PARTS), "fragment")
-    shared = spread.groupBy("fragment").applyInArrow(_count_shared, "class_id long, shared long").groupBy("class_id").agg(F.sum("shared").alias("shared"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key"))
     sizes = known.where("class_id IS NOT NULL").groupBy("class_id").agg(F.max("n_shingles").alias("n"), first.alias("r"))
-    enough = sizes.join(shared, "class_id").where(F.col("shared") * 100 >= F.col("n") * percent)
+    ranges = max(LEAST_RANGES, -(-sizes.count() // RANGE))
+    # tasks in proportion to the fragments, so that no task's input grows with the table
+    spread = docs.select("text").mapInArrow(trimmed(packed), _PACKED).repartition(-(-fragments // PARTS), "fragment").sortWithinPartitions("fragment")
+    told = spread.mapInArrow(trimmed(_counted(ranges, percent)), "part int, keys binary, shared binary, seen binary")
+    shared = told.repartition(ranges, "part").mapInArrow(trimmed(_sums), "class_id long, shared long, seen long")
+    # at most: what was told of, and half of the percentage of the rest
+    enough = sizes.join(shared, "class_id").where(F.col("shared") * 200 + F.greatest(F.col("n") - F.col("seen"), F.lit(0)) * percent >= F.col("n") * 2 * percent)
     return enough.select("class_id", "n", F.col("r.doc_id").alias("rep"), F.col("r.text_key").alias("rep_text"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import langid, license_scan, maxscore, media_chunks, ngram_join, packing, pii, source_mix, token_codes, toxicity
 from tidemark.llm.queries import vocabulary
+from tidemark.llm.units import UnitEncoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, part string"
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
@@ -300,6 +301,35 @@ def test_units_equal_direct_encoding(name, blank):
         assert all((encode(t) == ids[a:b]).all() for t, a, b in zip(texts, at[:-1], at[1:], strict=True))
 
 
+@pytest.mark.parametrize("name, blank", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_units_with_signs_are_encoded_many_at_a_time(name, blank):
+    rng = np.random.default_rng(4)
+    signs = ["%%%", "!!", "é?", "'s", "", "<|endoftext|>", "日本", "-", "٣"]
+    made = [f"{'xyzé'[k % 4]}{k}{signs[rng.integers(len(signs))]}{rng.integers(99)}" for k in range(900)] + ["", "a  b", "...", "'s", "  "]
+    own = UnitEncoder(vocabulary(name), blank)
+
+    class Counted:
+        model, calls = own.tokenizer.model, 0
+
+        def __getattr__(self, kind):
+            def run(texts, **how):
+                Counted.calls += len(texts)
+                return getattr(plain, kind)(texts, **how)
+
+            return run
+
+    plain, own.tokenizer = own.tokenizer, Counted()
+    texts = [" ".join(made[k : k + 50]) for k in range(0, 900, 50)]
+    ids, sizes = own.encode(texts)
+    assert Counted.calls <= 40
+    whole = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == list(map(len, whole)) and ids.tolist() == sum(whole, [])
+    odd = [" ".join(made[k::7]) for k in range(7)]
+    ids, sizes = own.encode(odd)
+    whole = [plain.encode(t, add_special_tokens=False).ids for t in odd]
+    assert sizes.tolist() == list(map(len, whole)) and ids.tolist() == sum(whole, [])
+
+
 def test_targets(spark):
     for sizes in ([100] * 7, [1000, 1, 1, 1, 50, 2, 0], [10], [5, 1000, 3], [0, 0]):
         names = [f"s{i:02d}" for i in range(1, len(sizes))] + [None]

@@ -8,6 +8,7 @@ such places, one by one, equals encoding the text. A text with other white space
 from __future__ import annotations
 
 import os
+from codecs import charmap_decode
 from itertools import chain
 
 import numpy as np
@@ -15,6 +16,9 @@ import numpy as np
 #: The byte-level alphabet: printable bytes of Latin-1 stand for themselves, the others for U+0100 and up in turn.
 _SELF = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SELF)}
+_ALPHABET = "".join(chr(_BYTES.get(b, b)) for b in range(256))
+#: Units to a list when those that aren't words of letters are encoded.
+LISTED = 100
 
 _ENCODERS: dict[tuple[str, bool], "UnitEncoder"] = {}
 
@@ -79,11 +83,11 @@ class UnitEncoder:
         for i, unit in enumerate(fresh):
             glued = unit[:1] < "\x03"
             text = unit[1:] if glued else unit
-            if text.isalpha() and max(text) < "ɐ" and (self.lead or len(text.lower()) == len(text)):
+            if text.isalpha() and (text.isascii() or (max(text) < "ɐ" and (self.lead or len(text.lower()) == len(text)))):
                 if word_ends:
                     text = text.lower()
                 if not text.isascii():
-                    text = text.encode().decode("latin-1").translate(_BYTES)
+                    text = charmap_decode(text.encode(), "strict", _ALPHABET)[0]
                 found = tokenize(text if word_ends or glued else lead + text)
                 sizes[i] = len(found)
                 ids += [t.id for t in found]
@@ -95,11 +99,14 @@ class UnitEncoder:
         flat = np.array(ids, np.uint32)
         if rest:
             texts = [fresh[i][1:] if fresh[i][:1] < "\x03" else self.lead + fresh[i] for i in rest]
-            made = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            # every member of a list is normalised and cut by itself, so its ids are those of a text of its own
+            listed = [texts[k : k + LISTED] for k in range(0, len(texts), LISTED)]
+            made = self.tokenizer.encode_batch(listed, is_pretokenized=True, add_special_tokens=False)
+            own = [np.bincount(np.array(x.word_ids, np.int64), minlength=len(own)) for x, own in zip(made, listed, strict=True)]
             known = np.ones(len(fresh), bool)
             known[rest] = False
-            parts = [(np.flatnonzero(known), flat), (np.array(rest), np.fromiter(chain.from_iterable(made), np.uint32))]
-            sizes[rest] = [len(x) for x in made]
+            parts = [(np.flatnonzero(known), flat), (np.array(rest), np.fromiter(chain.from_iterable(x.ids for x in made), np.uint32))]
+            sizes[rest] = np.concatenate(own)
             ends = np.cumsum(sizes)
             flat = np.empty(int(ends[-1]), np.uint32)
             for rows, values in parts:

@@ -10,25 +10,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import ngram_join, packing, pii, source_mix, toxicity
-from tidemark.llm.common import durable, table
+from tidemark.llm.common import durable, small_batches, table
 from tidemark.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows to an Arrow batch in all stages: one executor lives through all of them, and what it and its workers once held for a
+#: batch stays with them in part.
+ROWS = 500
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, rejects go."""
+    small_batches(spark, ROWS)
     docs = docs.select(COLUMNS)
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    small_batches(spark, ROWS)
     return ngram_join.keep_one(docs.select(COLUMNS))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind."""
+    small_batches(spark, ROWS)
     docs = docs.select(COLUMNS)
     return pii.redact(docs, pii.train(docs)).select(COLUMNS)
 
@@ -40,6 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document and their places in sequences of at most 1024 tokens."""
+    small_batches(spark, ROWS)
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 

@@ -477,6 +477,28 @@ def test_pipeline(spark):
 
 
 
+def test_pipeline_holds_little_in_executors(spark, empty):
+    import corpus_pipeline
+    from conftest import SMALL
+    from tidemark.llm import common
+
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, docs = spark.conf.get(key), spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.set(key, "10000")
+            stage(spark, docs, SMALL)
+            seen.append((name, int(spark.conf.get(key))))
+    finally:
+        spark.conf.set(key, before)
+    assert all(n <= 500 for name, n in seen if name != "source_mix"), seen
+    common._POWERS.clear()
+    data, at = common.text_buffer(pa.array(["some words " * 100_000]))
+    made = common.word_hashes(data, *common.word_spans(data, at))
+    assert len(set(made.tolist())) == 2 and len(made) == 200_000
+    assert sum(x.nbytes for x in common._POWERS) <= 4 << 20
+
+
 def test_keep_one_judges_rows_not_ids(spark):
     """Ids that repeat with different texts, null ids, and extra columns with the names used inside."""
     text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "ABCDE"}

@@ -115,8 +115,9 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         end = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
         yield batch.slice(row, end - row)
         row = end
-    _SEEN[0] += 1
-    if _SEEN[0] % 5 == 0:  # trimmed pages cost faults, so not after every batch
+    _SEEN[0] += batch.num_rows
+    if _SEEN[0] >= 10_000:  # trimmed pages cost faults, so not after every batch
+        _SEEN[0] = 0
         release()
 
 
@@ -151,7 +152,7 @@ NOT_LETTERS[65:91] = NOT_LETTERS[97:123] = NOT_LETTERS[128:] = False
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+        size = 1 << max(17, int(n - 1).bit_length())
         made = []
         for base in (_BASE, pow(_BASE, -1, 2**64)):
             steps = np.full(size, base, U64)
@@ -178,7 +179,7 @@ def word_spans(data: np.ndarray, at: np.ndarray, outside: np.ndarray = SPACES) -
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 19) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 17) -> np.ndarray:
     """64-bit hash of each word's bytes with A-Z as a-z: differences of a prefix polynomial, block by block."""
     out = np.empty(len(starts), U64)
     row = 0

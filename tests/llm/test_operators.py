@@ -330,6 +330,17 @@ def test_units_with_signs_are_encoded_many_at_a_time(name, blank):
     assert sizes.tolist() == list(map(len, whole)) and ids.tolist() == sum(whole, [])
 
 
+def test_words_are_learned_once_where_blanks_do_not_count():
+    own = UnitEncoder(vocabulary("word_bpe_49k.json"), False)
+    texts = ["Straße WORD\nWord word, Straße.\nSTRAßE", "word\nstraße word", "É é\nÉ", "ÿ Ÿ\nΣΑΣ İ", " word", "word\n", ",word"]
+    ids, sizes = own.encode(texts)
+    whole = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == list(map(len, whole)) and ids.tolist() == sum(whole, [])
+    own = UnitEncoder(vocabulary("word_bpe_49k.json"), False)
+    own.encode(["Straße WORD\nWord word\nSTRAßE", "word\nstraße"])
+    assert sorted(own.units) == ["\x02\n", "straße", "word"]
+
+
 def test_targets(spark):
     for sizes in ([100] * 7, [1000, 1, 1, 1, 50, 2, 0], [10], [5, 1000, 3], [0, 0]):
         names = [f"s{i:02d}" for i in range(1, len(sizes))] + [None]

@@ -8,6 +8,7 @@ such places, one by one, equals encoding the text. A text with other white space
 from __future__ import annotations
 
 import os
+import re
 from codecs import charmap_decode
 from itertools import chain
 
@@ -20,13 +21,17 @@ _ALPHABET = "".join(chr(_BYTES.get(b, b)) for b in range(256))
 #: Units to a list when those that aren't words of letters are encoded.
 LISTED = 100
 
+#: Matches texts of characters below U+0250.
+_LOW = re.compile("[\0-\u024f]*").fullmatch
+
 _ENCODERS: dict[tuple[str, bool], "UnitEncoder"] = {}
 
 
 class _Units(dict):
     """Unit -> number; an unseen unit gets the next number and waits in ``fresh`` to be encoded.
 
-    A unit follows a blank, unless it begins with NUL (start of the text) or U+0002 (no blank before it).
+    A unit follows a blank, unless it begins with NUL (start of the text) or U+0002 (no blank before it); where blanks don't
+    count, only stops, commas and line breaks begin so.
     """
 
     def __init__(self):
@@ -39,6 +44,17 @@ class _Units(dict):
         return number
 
 
+def _latin(text: str) -> bool:
+    """Whether all characters are below U+0100: there the lower case of a text is that of its characters."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _spread(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions of all ranges (begin, size), one range after another."""
     return np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
@@ -76,26 +92,33 @@ class UnitEncoder:
         Letters below U+0250 have one composed form and one lower case each, so words of them go to the model itself.
         """
         fresh, self.units.fresh = self.units.fresh, []
-        tokenize, lead, word_ends = self.tokenizer.model.tokenize, "Ġ", not self.lead
+        tokenize, word_ends = self.tokenizer.model.tokenize, not self.lead
         ids: list[int] = []
+        words, lengths, rest = [], [], []
         sizes, bad, mark, tail = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), bool), np.zeros(len(fresh), bool), np.ones(len(fresh), bool)
-        rest = []
         for i, unit in enumerate(fresh):
-            glued = unit[:1] < "\x03"
-            text = unit[1:] if glued else unit
-            if text.isalpha() and (text.isascii() or (max(text) < "ɐ" and (self.lead or len(text.lower()) == len(text)))):
+            if unit.isascii() and unit.isalpha():
+                text = unit.lower() if word_ends else "Ġ" + unit
+            else:
+                glued = unit[:1] < "\x03"
+                text = unit[1:] if glued else unit
+                if not text.isalpha() or not _LOW(text) or (word_ends and len(text.lower()) != len(text)):
+                    tail[i] = text[-1:].lower()[-1:].isalnum()
+                    mark[i] = unit[:1] == "\x02" and text[:1] in (".", ",")
+                    bad[i] = unit != "\x02\n" and (text == "" or text[0].isspace() or text[-1].isspace())
+                    rest.append(i)
+                    continue
                 if word_ends:
                     text = text.lower()
                 if not text.isascii():
                     text = charmap_decode(text.encode(), "strict", _ALPHABET)[0]
-                found = tokenize(text if word_ends or glued else lead + text)
-                sizes[i] = len(found)
-                ids += [t.id for t in found]
-            else:
-                tail[i] = text[-1:].lower()[-1:].isalnum()
-                mark[i] = unit[:1] == "\x02" and text[:1] in (".", ",")
-                bad[i] = unit != "\x02\n" and (text == "" or text[0].isspace() or text[-1].isspace())
-                rest.append(i)
+                if not word_ends and not glued:
+                    text = "Ġ" + text
+            found = [t.id for t in tokenize(text)]
+            ids += found
+            words.append(i)
+            lengths.append(len(found))
+        sizes[words] = lengths
         flat = np.array(ids, np.uint32)
         if rest:
             texts = [fresh[i][1:] if fresh[i][:1] < "\x03" else self.lead + fresh[i] for i in rest]
@@ -103,9 +126,7 @@ class UnitEncoder:
             listed = [texts[k : k + LISTED] for k in range(0, len(texts), LISTED)]
             made = self.tokenizer.encode_batch(listed, is_pretokenized=True, add_special_tokens=False)
             own = [np.bincount(np.array(x.word_ids, np.int64), minlength=len(own)) for x, own in zip(made, listed, strict=True)]
-            known = np.ones(len(fresh), bool)
-            known[rest] = False
-            parts = [(np.flatnonzero(known), flat), (np.array(rest), np.fromiter(chain.from_iterable(x.ids for x in made), np.uint32))]
+            parts = [(np.array(words, np.int64), flat), (np.array(rest), np.fromiter(chain.from_iterable(x.ids for x in made), np.uint32))]
             sizes[rest] = np.concatenate(own)
             ends = np.cumsum(sizes)
             flat = np.empty(int(ends[-1]), np.uint32)
@@ -120,14 +141,20 @@ class UnitEncoder:
         if len(self.units) > self.most:
             self.shrink(self.most // 2)
         direct, pieces, counts = set(), [], np.zeros(len(texts), np.int64)
+        word_ends = not self.lead
+        after_line = " \x02\n " if word_ends else " \x02\n \x02"
         for i, text in enumerate(texts):
             if not text:
                 continue
             if text.count(" ") * self.longest < len(text) - self.longest or "\0" in text or "\x01" in text or "\x02" in text:
                 direct.add(i)
                 continue
-            own = text.replace(",", " \x02,").replace(".", " \x02.").replace("\n", " \x02\n \x02").split(" ")
-            own[0] = "\0" + own[0]
+            # without leading blanks, a unit's ids are the same at a start, and those of its lower case
+            if word_ends and _latin(text):
+                text = text.lower()
+            own = text.replace(",", " \x02,").replace(".", " \x02.").replace("\n", after_line).split(" ")
+            if not word_ends:
+                own[0] = "\0" + own[0]
             counts[i] = len(own)
             pieces += own
         numbers = np.fromiter(map(self.units.__getitem__, pieces), np.int64, len(pieces))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import ngram_join, packing, pii, source_mix, toxicity
-from tidemark.llm.common import durable, small_batches, table
+from tidemark.llm.common import durable, shrink_heaps, small_batches, table
 from tidemark.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,34 +19,41 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ROWS = 500
 
 
+def begin(spark: SparkSession) -> None:
+    """No stage begins with the heap that the one before it left, and none takes more than small batches."""
+    shrink_heaps(spark)
+    small_batches(spark, ROWS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, rejects go."""
-    small_batches(spark, ROWS)
+    begin(spark)
     docs = docs.select(COLUMNS)
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    small_batches(spark, ROWS)
+    begin(spark)
     return ngram_join.keep_one(docs.select(COLUMNS))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind."""
-    small_batches(spark, ROWS)
+    begin(spark)
     docs = docs.select(COLUMNS)
     return pii.redact(docs, pii.train(docs)).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out until each source's words meet its target."""
+    begin(spark)
     return source_mix.mixed_rows(docs.select(COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document and their places in sequences of at most 1024 tokens."""
-    small_batches(spark, ROWS)
+    begin(spark)
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 

@@ -510,6 +510,22 @@ def test_pipeline_holds_little_in_executors(spark, empty):
     assert sum(x.nbytes for x in common._POWERS) <= 4 << 20
 
 
+def test_pipeline_stages_begin_with_small_heaps(spark):
+    import corpus_pipeline
+    from conftest import SMALL
+
+    def whole_collections() -> int:
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        before = whole_collections()
+        stage(spark, docs, SMALL)
+        # the driver's and, in tasks that are all in its process here, the executors'
+        assert whole_collections() >= before + 2, name
+
+
 def test_keep_one_judges_rows_not_ids(spark):
     """Ids that repeat with different texts, null ids, and extra columns with the names used inside."""
     text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "ABCDE"}

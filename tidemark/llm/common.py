@@ -81,6 +81,16 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Collect garbage in the driver and in all executors: a heap grows while tasks run and keeps what it took, a whole
+    collection gives the machine back what is beyond its use. The driver goes first, as executors hold broadcasts for as long
+    as it hasn't found them unused. One short task for each core; calls that meet in one process are one collection."""
+    context = spark.sparkContext
+    context._jvm.java.lang.System.gc()
+    cores = context.defaultParallelism
+    spark.range(0, cores, 1, cores).selectExpr("java_method('java.lang.System', 'gc') AS done").collect()
+
+
 def trimmed(run):
     """``run`` over Arrow batches, giving memory back when a task's input ends: an idle worker keeps none of it."""
 

@@ -83,3 +83,25 @@ def test_a_canon_beyond_what_can_be_sent(spark, monkeypatch):
         assert rows() == sent
     finally:
         store.forget()
+
+
+def test_narrow_terms_are_demoted_and_broad_ones_go(spark, tmp_path):
+    """One talk makes most uses of a new term: it is narrow. Three speakers share a strong one evenly: it is not."""
+    rng, rows = random.Random(4), []
+    for o in range(1, 41):
+        for k in range(8):
+            words = [f"w{a}x" .replace("0", "o").replace("1", "i") for a in (rng.choice(["a", "b", "c", "d"]) * rng.randrange(1, 9) for _ in range(200))]
+            if o == 40:
+                words += ["demoted"] * (8 if k == 0 else 1 if k == 1 else 0) + ["lonely"] * (3 if k in (6, 7) else 0)
+            if k == 0 and o in (33, 34):
+                words += ["shared"]
+            words += ["shared"] * (3 if o == 40 and k < 3 else 0)
+            rows.append(((o - 1) * 8 + k, " ".join(words) + ".", "en", "solo" if o == 40 and k > 5 else f"s{k}", 0))
+    path = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(0, "nothing here is shared")], "item_id long, text string").coalesce(1).write.parquet(f"{path}/benchmark.parquet")
+    cls = {(r.cls, r.term) for r in signals.ranked(spark, path).collect()}
+    assert ("new", "demoted") in cls and ("single", "demoted") not in cls
+    found = {r.term: (r["count"], r.speakers) for r in signals.QUERIES["cls_narrow"](spark, path).collect()}
+    assert found["demoted"] == (9, 2) and found["lonely"] == (6, 1)
+    assert ("single", "shared") not in cls or "shared" not in found
